@@ -14,6 +14,8 @@ from lectern.llm import wordvec as wv
 BITS = 20
 #: What a text's mean n-gram weight is multiplied with before the logistic function.
 GAIN = 30.0
+#: The feature of two equal neighbours.
+SAME = 1
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> wv.Words:
@@ -41,9 +43,12 @@ _KIND = np.asarray([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).is
 
 
 def features(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed feature, row) of every n-gram of the given orders, with repeats."""
+    """(hashed feature, row) of every n-gram of the given orders, with repeats; all pairs of equal neighbours also share one feature."""
     w = _tokens(data, off)
-    ids, rows = [], []
+    again = np.flatnonzero(w.hash[1:] == w.hash[:-1]) + 1
+    row = np.searchsorted(w.first, again, "right") - 1
+    again = again[w.first[row] < again]
+    ids, rows = [np.full(len(again), SAME)], [np.searchsorted(w.first, again, "right") - 1]
     for k in orders:
         h, at = wv.windows(w, k)
         ids.append((h >> np.uint64(64 - BITS)).astype(np.int64))
