@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.line_dedup import line_dedup
+from lectern.llm.lm_score import lm_score
 from lectern.llm.mixing import mix_sources
 from lectern.llm.quality import quality_classifier
+from lectern.llm.secrets import listed, secret_scan
 from lectern.sources.tables import table
 
 
@@ -52,6 +54,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(docs, table(spark, sf_dir, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -92,8 +100,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    mine = (op1_line_dedup, op2_quality_classifier, op4_decontamination, op6_exact_dedup, op7_mixing)
+    mine = (op1_line_dedup, op2_quality_classifier, op3_secret_scan, op4_decontamination, op6_exact_dedup, op7_mixing, op10_lm_score)
     return {f.__name__: f for f in mine}
 
 
