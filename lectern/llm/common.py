@@ -36,6 +36,31 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed.select("d", t.alias("t"), *(h.alias(k) for h, k in zip(two_hashes(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`").isNull(), t), ("k1", "k2"))))
 
 
+#: Rows of at most some longs each that may be broadcast; more of them are joined by shuffle.
+FEW = 400_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without some rows. keys (written already): k1, k2, stays, times, a row for each key that has a decision.
+
+    Rows whose key doesn't stay go; of a key that stays and that ``times`` rows have, one row stays.
+    """
+    rows = with_row_key(docs, id_col, text_col).select("d", "k1", "k2")
+    gone = keys.where("not stays").select("k1", "k2")
+    rows = rows.join(few(gone, gone.count()), ["k1", "k2"], "left_anti")
+    often = keys.where("stays and times > 1").select("k1", "k2")
+    n = often.count()
+    if n:
+        once = rows.join(few(often, n), ["k1", "k2"], "left_anti")
+        rows = once.unionByName(rows.join(few(often, n), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return rows.select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
+
+
 def unpack(df: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
     """The input's columns out of d, then the added ones; an added name replaces an input column of that name."""
     return df.select(*(F.col(f"d.`{c}`").alias(c) for c in columns if c not in added), *(v.alias(k) for k, v in added.items()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import two_hashes, with_row_key
+from lectern.llm.common import two_hashes, with_row_key, without
 from lectern.sources.tables import materialize
 
 #: A chunk ends after a sentence's end that has min to max characters before it, or else after max characters: cuts follow the content, not the offset.
@@ -56,6 +56,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "k1", "k2", "repeats")
 
 
+def one_of_each_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but for exact duplicates: of each text the row of the largest id stays, one of it if it is repeated."""
+    found = exact_dedup(docs, id_col, text_col)
+    keys = found.groupBy("k1", "k2").agg(F.max("kept").alias("stays"), F.max("repeats").alias("times"), F.max("group_size").alias("held"))
+    return without(docs, materialize(keys.where("held > 1").drop("held"), "copies"), id_col, text_col)
+
+
 def _told_apart(rows: DataFrame, each: DataFrame, shared: DataFrame, names, cut: Column, sha: Column, hashes) -> DataFrame:
     """Recipes where some hashes stand for several chunks: those chunks carry their rank among them."""
     listed = each.join(shared, list(names), "left_semi").distinct()

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.license_scan import license_scan
 from lectern.llm.line_dedup import line_dedup
 from lectern.llm.lm_score import lm_score
 from lectern.llm.mixing import mix_sources
+from lectern.llm.ngram_join import ngram_classes
+from lectern.llm.pii import pii_pseudonyms
 from lectern.llm.quality import quality_classifier
 from lectern.llm.secrets import listed, secret_scan
 from lectern.sources.tables import table
@@ -38,6 +41,11 @@ FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"), F.array_join("rules", ",").alias("rules"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -100,14 +108,45 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+  ) p JOIN sizes m ON m.doc_id = p.a JOIN sizes o ON o.doc_id = p.b WHERE 100 * common >= 80 * (m.n + o.n - common)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), key="lectern")
+    return out.select("doc_id", "n_found", F.array_join("kinds", ",").alias("kinds"), "text")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    mine = (op1_line_dedup, op2_quality_classifier, op3_secret_scan, op4_decontamination, op6_exact_dedup, op7_mixing, op10_lm_score)
+    mine = (op1_line_dedup, op2_quality_classifier, op3_secret_scan, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_mixing, op8_ngram_join, op9_pii, op10_lm_score)
     return {f.__name__: f for f in mine}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
