@@ -36,6 +36,17 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return packed.select("d", t.alias("t"), *(h.alias(k) for h, k in zip(two_hashes(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`").isNull(), t), ("k1", "k2"))))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame, size: int = 8 << 20) -> None:
+    """Lets Arrow batches hold 8 MB where the session still has Spark's default of 64 MB: several live at once in
+    the executor's buffers and in each Python worker."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH).strip().lower() in ("67108864b", "67108864", "64mb", "64m"):
+        conf.set(BATCH, str(size))
+
+
 #: Rows of at most some longs each that may be broadcast; more of them are joined by shuffle.
 FEW = 400_000
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import unpack, with_row_key
+from lectern.llm.common import small_batches, unpack, with_row_key
 from lectern.sources.tables import materialize
 
 FOUND = "struct<n_words:long,n_hit:long,items:array<string>,starts:array<long>,ends:array<long>>"
@@ -149,6 +149,7 @@ def decontaminate(
     is listed as an empty string. Repeated items count once, repeated documents
     each. Input columns with the added names are replaced.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     blocks = _blocks(benchmark, block_chars, item_col, item_text_col)
     first, second = next(blocks), next(blocks, None)

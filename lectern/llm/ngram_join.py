@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import few, with_row_key, without
+from lectern.llm.common import few, small_batches, with_row_key, without
 from lectern.llm.components import components
 from lectern.sources.tables import materialize
 
@@ -249,6 +249,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2
     dealt out in blocks. 5. Components of all links found. Families are only an
     order of work: every pair that may link lies in one family or goes through 4.
     """
+    small_batches(docs)
     rows = with_row_key(docs, id_col, text_col).select(F.col(f"d.`{id_col}`").alias("id"), "k1", "k2", "t")
     sketch = frequency_sketch(rows.select("t"), k, sketch_bits)
     all_rows = materialize(features(rows, docs.schema[id_col].dataType, sketch, k, percent), "sets")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
+from lectern.llm.common import small_batches
 
 BITS = 20
 #: What a text's mean n-gram weight is multiplied with before the logistic function.
@@ -144,6 +145,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     broadcast. Null and empty texts score as the bias alone; a null id is not
     held out. Only texts and labels are learnt from.
     """
+    small_batches(docs)
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows, folds, id_col, text_col))
 
     @F.arrow_udf("double")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
+from lectern.llm.common import small_batches
 
 #: The base rules, their least lengths, and the order of kinds ("net" for the network's spans).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -219,6 +220,7 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
     Texts are scanned whole in Arrow batches; a byte-level test passes over rows
     that cannot hold any. Nothing is shuffled but the bounded sample.
     """
+    small_batches(docs)
     net, scale, threshold = fit(labelled(docs, most_labelled, text_col), recall=recall)
     threshold = max(0.5, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(net.p)

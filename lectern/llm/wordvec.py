@@ -6,6 +6,7 @@ time, so no Python object is made for a word. A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,6 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: it keeps what it will
+    _LIBC = None
 _LONG = 1 << 12
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -63,16 +69,25 @@ class Words(NamedTuple):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (one more than rows, from 0) of a string column."""
+    """Bytes and offsets (one more than rows, from 0) of a string column; without nulls its bytes aren't copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar("", column.type))
+    wide = pa.types.is_large_string(column.type)
+    off = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on from task to task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with about ``most`` bytes, or one row."""
     data, off = buffers(column)
@@ -81,6 +96,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    if len(data) > most:
+        release()
 
 
 def words(data: np.ndarray, off: np.ndarray, fold: np.ndarray) -> Words:
