@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import gru
 from lectern.llm import wordvec as wv
-from lectern.llm.common import with_row_key
+from lectern.llm.common import small_batches, with_row_key
 from lectern.llm.quality import fold_of
 from lectern.sources.tables import materialize
 
@@ -45,15 +45,15 @@ def _find(h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_words(train: DataFrame, most: int) -> np.ndarray:
-    """Hashes of about the ``most`` most frequent tokens, found from all rows: a token counts in every megabyte
-    of text in which it is at least one of 25,000, so one of a common token's counts may be missed. Only which
-    tokens take the quick way depends on it; their counts are made exactly."""
+    """Hashes of about the ``most`` most frequent tokens, found from all rows: a token counts in every two megabytes
+    of text that hold it three times, so a common token may miss some of its counts. Only which tokens take
+    the quick way depends on it; their counts are made exactly."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, off in wv.slices(b.column(0), 1 << 21):
                 h, n = np.unique(tokens(data, off)[0], return_counts=True)
-                some = n >= max(2, n.sum() / 25_000)
+                some = n >= min(3, n.max(initial=0))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[some])), pa.array(n[some].astype(np.int64))], ["h", "n"])
 
     found = train.select("t").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -176,7 +176,7 @@ def word_ids(data: np.ndarray, off: np.ndarray, table: np.ndarray, rank: np.ndar
 
 
 def lm_score(
-    docs: DataFrame, folds: int = 10, vocabulary: int = 1023, common: int = 1 << 16, hidden: int = 16, classes: int = 32,
+    docs: DataFrame, folds: int = 10, vocabulary: int = 1023, common: int = 1 << 17, hidden: int = 16, classes: int = 32,
     share: int = 8, group_docs: int = 2048, updates: int = 1200, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
@@ -199,6 +199,7 @@ def lm_score(
     for each token and text, and give sums for each text; so no group of equal
     tokens is large. Repeated rows count each. An empty table gives no rows.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     rows = with_row_key(docs, id_col, text_col).select(F.col(f"d.`{id_col}`").alias("id"), fold_of(F.col(f"d.`{id_col}`"), folds).alias("held_out"), "k1", "k2", "t")
     rows = rows.withColumn("train", ~F.col("held_out"))
