@@ -45,7 +45,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     placed = placed.where(F.char_length("key") >= min_chars).select("k1", "k2", "pos", h1.alias("h1"), h2.alias("h2"))
     dropped = placed.join(frequent, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     dropped = materialize(dropped, "dropped-lines")
-    joined = rows.join(dropped, ["k1", "k2"], "left").select("d", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    again = F.split(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")), "\n", -1)
+    joined = rows.drop("t").join(dropped, ["k1", "k2"], "left").select("d", again.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     joined = joined.select("d", "lines", "gone", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone").alias("stay"))
     kept = F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
     return unpack(joined, docs.columns, {text_col: kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.size("gone").cast("long")})
