@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.scalars import first_line, route
 
@@ -77,7 +78,7 @@ def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3) -
     """Calls a registered synthesizer for each row; what raises is tried again, and then gives a row with its error."""
     if name not in SYNTHESIZERS:
         raise ValueError(f"no synthesizer {name!r}; there are {sorted(SYNTHESIZERS)}")
-    f = SYNTHESIZERS[name]
+    f, names = SYNTHESIZERS[name], T.StructType.fromDDL(schema).fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -90,6 +91,6 @@ def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3) -
                     except Exception as e:  # a row's failure must not fail the job; it is reported in its row
                         if k + 1 == attempts:
                             out.append({"talk_id": r.get("talk_id"), "window_id": r.get("window_id"), "error": str(e)[-500:]})
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, columns=names)
 
     return requests.mapInPandas(run, schema)
