@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.scalars import first_line, route
 
@@ -78,12 +79,12 @@ def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3) -
     """Calls a registered synthesizer for each row; what raises is tried again, and then gives a row with its error."""
     if name not in SYNTHESIZERS:
         raise ValueError(f"no synthesizer {name!r}; there are {sorted(SYNTHESIZERS)}")
-    f, names = SYNTHESIZERS[name], T.StructType.fromDDL(schema).fieldNames()
+    f, arrow = SYNTHESIZERS[name], to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in frame.to_dict("records"):
+            for r in batch.to_pylist():
                 for k in range(attempts):
                     try:
                         out.append({**f(r), "error": None})
@@ -91,6 +92,6 @@ def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3) -
                     except Exception as e:  # a row's failure must not fail the job; it is reported in its row
                         if k + 1 == attempts:
                             out.append({"talk_id": r.get("talk_id"), "window_id": r.get("window_id"), "error": str(e)[-500:]})
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return requests.mapInPandas(run, schema)
+    return requests.mapInArrow(run, schema)
