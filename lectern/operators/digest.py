@@ -56,6 +56,23 @@ def cost(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.groupBy(*keys).agg(F.round(F.sum(F.col("cost").cast("decimal(18,6)")), 4).cast("double").alias("cost"))
 
 
+def synth_inputs(windows: DataFrame, lines: DataFrame, assigned: DataFrame, slides: DataFrame) -> DataFrame:
+    """(talk_id, window_id, title, lines, primary, context): what a synthesizer is asked about each window, lines and slides in order of time."""
+    said = lines.groupBy("talk_id", "window_id").agg(F.array_sort(F.collect_list(F.struct("line", "start_ms", "text"))).alias("lines"))
+    shown = assigned.join(slides.select("talk_id", "slide_id", "first_seen_ms", "ocr_text"), ["talk_id", "slide_id"])
+    one = F.struct("first_seen_ms", "slide_id", "ocr_text")
+    per = shown.groupBy("talk_id", "window_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == r, one))).alias(r) for r in ("primary", "context")))
+    both = windows.select("talk_id", "window_id", "title").join(said, ["talk_id", "window_id"], "left").join(per, ["talk_id", "window_id"], "left")
+    none = F.array()
+    return both.select("talk_id", "window_id", "title", *(F.coalesce(c, none.cast(dict(both.dtypes)[c])).alias(c) for c in ("lines", "primary", "context")))
+
+
+def verification(anchored: DataFrame, recalled: DataFrame, *keys: str) -> DataFrame:
+    """(keys, quotes_total, quotes_grounded, token_recall, missing, weak): weak where under 80 % of the quotes are grounded."""
+    out = quote_totals(anchored, *keys).join(recalled.withColumnRenamed("recall", "token_recall"), list(keys), "left")
+    return out.withColumn("weak", (F.col("quotes_total") > 0) & (F.col("quotes_grounded") < 0.8 * F.col("quotes_total")))
+
+
 def extract_points(lines: DataFrame) -> DataFrame:
     """The default synthesizer, extractive: a window's point quotes the first six words of its first line."""
     first = lines.groupBy("talk_id", "window_id").agg(F.min_by("text", "line").alias("text"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as sc
+from lectern.functions import schemas
 from lectern.functions.text import digit_runs, fast_tokens, token_set
 from lectern.operators import anchor, cues, digest, frames, intervals, lineage, recall, report, slides, windows
 from lectern.plans.sql import CHAPTERS, CHAPTER_WINDOWS, CUES, DOC_TOKENS, FRAMES, HARD_TOKENS, SEGMENTS, SLIDE_SUMS, SLIDES, TALK_QUOTES, TALK_TOKENS, TALKS, WORD_WINDOWS, with_parts
@@ -698,4 +699,21 @@ def q70_batch_work(spark, d):
     return lineage.batch_work(items.select("url"), items)
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'j,z' ELSE '' END AS unknown, CASE WHEN event_id % 7 = 0 THEN 'k,v' ELSE 'v' END AS missing FROM events""")
+def q71_closed_documents(spark, d):
+    e = table(spark, d, "events")
+    doc = F.when(F.col("event_id") % 7 == 0, F.lit("{}")).otherwise(F.col("props"))
+    extra = F.when(F.col("event_id") % 5 == 0, F.lit('{"z": 1, "j": null, "k": 2}')).otherwise(F.lit('{"k": 1}'))
+    return e.select("event_id", F.array_join(schemas.unknown_keys(extra, ("k",)), ",").alias("unknown"), F.array_join(schemas.missing_keys(doc, ("k", "v")), ",").alias("missing"))
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, SLIDES, SLIDE_SUMS, _PRIMARY, """
+SELECT w.talk_id, printf('w%02d', w.w_ord) AS window_id, title, count(*) FILTER (WHERE role = 'primary') AS n_primary, count(*) FILTER (WHERE role = 'context') AS n_context,
+       coalesce(min(slide_id) FILTER (WHERE role = 'primary'), -1) AS first_slide FROM chapter_windows w LEFT JOIN assigned a ON a.talk_id = w.talk_id AND a.w_ord = w.w_ord GROUP BY ALL"""))
+def q72_synth_inputs(spark, d):
+    w, s = materialize(_chapter_windows(spark, d), "windows"), materialize(adapters.slides(spark, d), "slides")
+    got = digest.synth_inputs(w, windows.pack_lines(adapters.segments(spark, d), w), intervals.assign_slides(s, w), s)
+    return got.select("talk_id", "window_id", "title", F.size("primary").cast("long").alias("n_primary"), F.size("context").cast("long").alias("n_context"), F.coalesce(F.get("primary", F.lit(0))["slide_id"], F.lit(-1)).alias("first_slide"))
+
+
 __all__ = ["FLAGSHIP", "Window", "oracle_sql", "queries"]
