@@ -57,10 +57,15 @@ def _log_p(p: Params, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     out = _log_softmax(h @ p["wc"] + p["bc"])[rows, k]
     order = np.argsort(k, kind="stable")
     cut = np.searchsorted(k[order], np.arange(p["bo"].shape[0] + 1))
-    for c in range(len(cut) - 1):
-        at = order[cut[c] : cut[c + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ p["wo"][c] + p["bo"][c])[np.arange(len(at)), word[at] - c * per]
+    h, place, lp = h[order], (word - k * per)[order], np.empty(len(word), h.dtype)
+    for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
+        if hi > lo:
+            a = h[lo:hi] @ p["wo"][c]
+            a += p["bo"][c]
+            a -= a.max(1, keepdims=True)
+            lp[lo:hi] = a[rows[: hi - lo], place[lo:hi]]
+            lp[lo:hi] -= np.log(np.exp(a, out=a).sum(1))
+    out[order] += lp
     return out
 
 
@@ -102,15 +107,20 @@ def score(p: Params, texts: list[np.ndarray], block: int = 64) -> np.ndarray:
 class Adam:
     def __init__(self, p: Params, rate: float):
         self.p, self.rate, self.t = p, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.m, self.v, self.step = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
 
     def update(self, grads: Params) -> None:
         self.t += 1
         fix = np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+            m, v, step = self.m[k], self.v[k], self.step[k]
+            m += np.multiply(np.subtract(g, m, out=step), 0.1, out=step)
+            v += np.multiply(np.subtract(np.multiply(g, g, out=step), v, out=step), 0.01, out=step)
+            np.sqrt(v, out=step)
+            step += 1e-6
+            np.divide(m, step, out=step)
+            step *= self.rate * fix
+            self.p[k] -= step
 
 
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray, float]:
@@ -120,50 +130,66 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndar
     """
     steps, lanes = inputs.shape
     n, per = p["u"].shape[0], p["bo"].shape[1]
-    tape, hs = [], []
+    x, keep = p["x"][inputs], 1 - fresh[:, :, None].astype(np.float32)
+    h_in, z, r, c, gn, hs = (np.empty((steps, lanes, n), p["u"].dtype) for _ in range(6))
     for t in range(steps):
-        h_in = h * (1 - fresh[t])[:, None].astype(np.float32)
-        h, z, r, c, gn = _step(p, inputs[t], h_in)
-        tape.append((h_in, z, r, c, gn))
-        hs.append(h)
-    H, y = np.concatenate(hs), targets.reshape(-1)
+        np.multiply(h, keep[t], out=h_in[t])
+        g = h_in[t] @ p["u"]
+        zr = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
+        z[t], r[t], gn[t] = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+        np.tanh(x[t, :, 2 * n :] + r[t] * gn[t], out=c[t])
+        h = np.add(c[t], z[t] * (h_in[t] - c[t]), out=hs[t])
+    H, y = hs.reshape(-1, n), targets.reshape(-1)
     rows, k = np.arange(len(y)), y // per
     scale = np.float32(1 / len(y))
-    g = {key: np.zeros_like(x) for key, x in p.items()}
-    lc = _log_softmax(H @ p["wc"] + p["bc"])
-    loss = -lc[rows, k].sum()
-    d = np.exp(lc)
-    d[rows, k] -= 1
-    d *= scale
+    g = {key: np.zeros_like(v) for key, v in p.items()}
+
+    def softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+        """The scaled gradient with respect to a, in its place, and the loss."""
+        a -= a.max(1, keepdims=True)
+        own = a[rows, at].sum()
+        total = np.exp(a, out=a).sum(1, keepdims=True)
+        a *= scale / total
+        a[rows, at] -= scale
+        return a, np.log(total).sum() - own
+
+    d, loss = softmax(H @ p["wc"] + p["bc"], k)
     g["wc"], g["bc"] = H.T @ d, d.sum(0)
     dH = d @ p["wc"].T
+    # The words in their classes: tokens lie by class, one product a class, all else over all of them.
     order = np.argsort(k, kind="stable")
-    cut = np.searchsorted(k[order], np.arange(p["bo"].shape[0] + 1))
-    for c in range(len(cut) - 1):
-        at = order[cut[c] : cut[c + 1]]
-        if not len(at):
-            continue
-        lw = _log_softmax(H[at] @ p["wo"][c] + p["bo"][c])
-        here = np.arange(len(at)), y[at] - c * per
-        loss -= lw[here].sum()
-        e = np.exp(lw)
-        e[here] -= 1
-        e *= scale
-        g["wo"][c], g["bo"][c] = H[at].T @ e, e.sum(0)
-        dH[at] += e @ p["wo"][c].T
-    dh = np.zeros((lanes, n), np.float32)
-    into = np.zeros((steps, lanes, 3 * n), np.float32)
+    by, Hs = k[order], H[order]
+    cut = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    parts = list(zip(by[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(by)]))
+    e = p["bo"][by]
+    for j, lo, hi in parts:
+        e[lo:hi] += Hs[lo:hi] @ p["wo"][j]
+    e, more = softmax(e, y[order] - by * per)
+    loss += more
+    g["bo"][by[cut]] = np.add.reduceat(e, cut, axis=0)
+    back = np.empty_like(Hs)
+    for j, lo, hi in parts:
+        g["wo"][j] = Hs[lo:hi].T @ e[lo:hi]
+        back[lo:hi] = e[lo:hi] @ p["wo"][j].T
+    dH[order] += back
+    # Every gate's gradient is that of the state times a factor known beforehand.
+    dc = (1 - z) * (1 - c * c)
+    dz, dr = (h_in - c) * z * (1 - z), dc * gn * r * (1 - r)
+    factor = np.stack([dz, dr, dc * r], axis=2)
+    dH, dh, du = dH.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32), np.empty((steps, lanes, 3 * n), p["u"].dtype)
+    ut = np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        h_in, z, r, c, gn = tape[t]
-        dh = dh + dH[t * lanes : (t + 1) * lanes]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h_in - c) * z * (1 - z)
-        dr = dc * gn * r * (1 - r)
-        du = np.concatenate([dz, dr, dc * r], axis=1)
-        into[t] = np.concatenate([dz, dr, dc], axis=1)
-        g["u"] += h_in.T @ du
-        dh = (dh * z + du @ p["u"].T) * (1 - fresh[t])[:, None].astype(np.float32)
-    np.add.at(g["x"], inputs.reshape(-1), into.reshape(-1, 3 * n))
+        dH[t] += dh
+        dh = dH[t]
+        np.multiply(dh[:, None, :], factor[t], out=du[t].reshape(lanes, 3, n))
+        dh = (dh * z[t] + du[t] @ ut) * keep[t]
+    g["u"] = h_in.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+    du[:, :, 2 * n :] = dH * dc
+    word = inputs.reshape(-1)
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    g["x"][word[cut]] = np.add.reduceat(du.reshape(-1, 3 * n)[order], cut, axis=0)
     return g, h, float(loss / len(y))
 
 
@@ -186,7 +212,7 @@ def train(p: Params, texts: list[np.ndarray], updates: int, rate: float, seed: i
         h = np.zeros((lanes, p["u"].shape[0]), np.float32)
         for t in range(0, long, WINDOW):
             g, h, _ = gradients(p, x[t : t + WINDOW], y[t : t + WINDOW], fresh[t : t + WINDOW], h)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
             if norm > 1:
                 g = {k: v / np.float32(norm) for k, v in g.items()}
             model.update(g)

@@ -112,7 +112,7 @@ def token_counts(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def fit(train: DataFrame, words: np.ndarray, counts: np.ndarray, hidden: int, classes: int, share: int, group_docs: int, updates: int, rate: float) -> gru.Params:
-    """Trains on one of ``share`` training texts, but at least group_docs if there are so many, in groups of about group_docs.
+    """Trains on every training text (of a ``share`` beyond 1, on one of so many, but at least group_docs), in groups of about group_docs.
 
     First one group alone finds a model; then every group goes on from it by
     itself and the mean of their models, weighted by group size, is the result.
@@ -177,7 +177,7 @@ def word_ids(data: np.ndarray, off: np.ndarray, table: np.ndarray, rank: np.ndar
 
 def lm_score(
     docs: DataFrame, folds: int = 10, vocabulary: int = 1023, common: int = 1 << 17, hidden: int = 16, classes: int = 32,
-    share: int = 8, group_docs: int = 2048, updates: int = 1200, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
+    share: int = 1, group_docs: int = 2048, updates: int = 1200, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
@@ -217,16 +217,16 @@ def lm_score(
     words, word_counts = table[order], c[order]
     n_other, v_other = n_train - int(word_counts.sum()), distinct - len(words)
     params = fit(train, words, np.append(word_counts, n_other), hidden, classes, share, group_docs, updates, rate)
-    in_model = np.zeros(len(table), bool)
-    in_model[order] = True
+    rank = np.full(len(table), len(words))
+    rank[order] = np.arange(len(words))
     logs = np.log10(c + 0.1)
-    shared = spark.sparkContext.broadcast((table, logs, c > 0, in_model, np.sort(words), np.argsort(words), params))
+    shared = spark.sparkContext.broadcast((table, logs, c > 0, rank, len(words), params))
 
     scored_type = "n_tokens long, n_other long, hot_known long, hot_logs double, hot_other_logs double, net double"
 
     @F.arrow_udf(f"struct<{scored_type.replace(' long', ':long').replace(' double', ':double')}>")
     def scored(t: pa.Array) -> pa.Array:
-        table, logs, seen, in_model, words, rank, params = shared.value
+        table, logs, seen, rank, n_words, params = shared.value
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         texts: list[np.ndarray] = []
         held = 0
@@ -241,13 +241,14 @@ def lm_score(
             at, hot = _find(h, table)
             known = at[hot], row[hot]
             count = lambda r, w=None: np.bincount(r, w, hi - lo)  # noqa: E731, B023
-            other = ~in_model[known[0]] if len(table) else np.zeros(0, bool)
+            other = rank[known[0]] == n_words if len(table) else np.zeros(0, bool)
             parts[0].append(np.diff(first))
             parts[2].append(count(known[1], seen[known[0]]) if len(known[0]) else np.zeros(hi - lo))
             parts[3].append(count(known[1], logs[known[0]]) if len(known[0]) else np.zeros(hi - lo))
             parts[4].append(count(known[1][other], logs[known[0][other]]) if len(known[0]) else np.zeros(hi - lo))
-            ids, _ = word_ids(data, off, words, rank)
-            parts[1].append(count(row[ids == len(words)]))
+            ids = np.full(len(h), n_words)
+            ids[hot] = rank[known[0]]
+            parts[1].append(count(row[ids == n_words]))
             texts.extend(ids[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:]))
             held += len(ids)
             if held >= BATCH_TOKENS:

@@ -404,6 +404,12 @@ def test_lm_score(spark):
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_known == 4 and twice[0].train_tokens == 8
 
 
+def test_lm_trains_on_every_text(spark):
+    texts = prose(200, 54, vocabulary=20)
+    score = lambda **more: [r.score for r in lm_score(frame(spark, texts), vocabulary=15, common=50, hidden=4, classes=4, group_docs=16, updates=20, **more).orderBy("doc_id").collect()]
+    assert score() == pytest.approx(score(share=1), rel=1e-5) and score() != pytest.approx(score(share=8), rel=1e-5)
+
+
 # 9.
 
 
