@@ -222,7 +222,6 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
     """
     small_batches(docs)
     net, scale, threshold = fit(labelled(docs, most_labelled, text_col), recall=recall)
-    threshold = max(0.5, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     span = "array<struct<kind:string,start:long,end:long>>"

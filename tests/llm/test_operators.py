@@ -331,6 +331,21 @@ def test_network_tells_findings_apart():
     assert (p[y == 1] >= threshold).mean() >= 0.97 and (p[y == 0] < max(0.5, threshold)).mean() >= 0.95
 
 
+def test_secrets_apply_the_threshold_of_fit(spark, monkeypatch):
+    net, scale, threshold = secrets.fit([])
+    made = secrets._made_findings(600, seed=78)
+    p = 1 / (1 + np.exp(-scale * net.logits(np.asarray([secrets.encode(t, a, b) for t, a, b, _ in made]))))
+    y = np.asarray([x for *_, x in made])
+    assert (p[y == 1] >= threshold).mean() >= 0.97 and (p[y == 0] < threshold).mean() >= 0.9
+    low = min(0.4, float(p.min()))
+    monkeypatch.setattr(secrets, "fit", lambda *a, **k: (net, scale, low))
+    texts = [t for t, *_ in made[1::2]]
+    rows = {r.doc_id: r for r in secret_scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        free = [c for c in secrets.candidates(t) if not any(a < c[1] and c[0] < e for a, _, e in secrets.base_spans(t))]
+        assert [(x.start, x.end) for x in rows[i].spans if x.kind == "net"] == free
+
+
 def test_network_gradients():
     net = secrets.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
