@@ -49,6 +49,16 @@ def encode(text: str, lo: int, hi: int) -> np.ndarray:
     return out
 
 
+def places(text: str, lo: int, hi: int) -> np.ndarray:
+    """What the network sees of a candidate of over INSIDE characters, a row for each place of the INSIDE ones in it,
+    with the characters around that place; a view of the codes, whatever the length."""
+    start = max(0, lo - LEFT)
+    codes = np.zeros(LEFT + hi - lo + RIGHT, np.uint8)
+    part = [min(ord(c) + 1, CHARS - 1) for c in text[start : hi + RIGHT]]
+    codes[LEFT - (lo - start) :][: len(part)] = part
+    return np.lib.stride_tricks.sliding_window_view(codes, LENGTH)
+
+
 class Network:
     """Embedding, one convolution, maximum over places in each of the three parts, logistic output."""
 
@@ -78,6 +88,13 @@ class Network:
     def logits(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + batch])[0] for i in range(0, len(x), batch)]) if len(x) else np.zeros(0)
 
+    def highest(self, heads: np.ndarray, rest: dict[int, np.ndarray]) -> np.ndarray:
+        """The highest logit of each candidate, over its head and all its places."""
+        z = self.logits(heads)
+        for i, x in rest.items():
+            z[i] = max(z[i], *(self.logits(x[j : j + 512]).max() for j in range(0, len(x), 512)))
+        return z
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         z, (wide, tops, best, kept) = self.forward(x)
         d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
@@ -214,8 +231,8 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
     columns of these names are replaced; repeated rows are scanned each.
 
     A candidate is any run of at least 16 characters of a secret's alphabet
-    with a letter and a digit; the network sees it and 24 characters before and 12 after. It
-    is trained on labelled findings: at most ``most_labelled`` candidates of the
+    with a letter and a digit; the network sees 40 characters of it with 24 before and 12 after, of a longer one
+    first its head, then every place, and the highest result counts. It is trained on labelled findings: at most ``most_labelled`` candidates of the
     documents, labelled by the base rules, and made-up findings of other forms.
     Texts are scanned whole in Arrow batches; a byte-level test passes over rows
     that cannot hold any. Nothing is shuffled but the bounded sample.
@@ -231,7 +248,7 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
         judge = Network()
         judge.p = shared.value
         base: list[list] = [[] for _ in range(len(t))]
-        asked, xs = [], []
+        asked, xs, rest = [], [], {}
         for first, _, data, off in wv.slices(t):
             for i in np.flatnonzero(_flagged(data, off)):
                 text = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
@@ -239,11 +256,13 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
                 base[row] = base_spans(text)
                 for lo, hi in candidates(text):
                     if not any(a < hi and lo < e for a, _, e in base[row]):
+                        if hi - lo > INSIDE:
+                            rest[len(asked)] = places(text, lo, hi)
                         asked.append((row, lo, hi))
                         xs.append(encode(text, lo, hi))
         spans = [list(x) for x in base]
         if asked:
-            p = 1 / (1 + np.exp(-scale * judge.logits(np.asarray(xs))))
+            p = 1 / (1 + np.exp(-scale * judge.highest(np.asarray(xs), rest)))
             for (row, lo, hi), good in zip(asked, p >= threshold):
                 if good:
                     spans[row].append((lo, 3, hi))

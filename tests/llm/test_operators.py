@@ -346,6 +346,17 @@ def test_secrets_apply_the_threshold_of_fit(spark, monkeypatch):
         assert [(x.start, x.end) for x in rows[i].spans if x.kind == "net"] == free
 
 
+def test_secrets_see_whole_candidates(spark, monkeypatch):
+    net = secrets.Network()
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}  # finds a 9 within a candidate
+    net.p["e"][ord("9") + 1, 0] = net.p["k"][0, 0] = net.p["w"][secrets.FILTERS] = 1
+    net.p["o"][0] = -0.5
+    monkeypatch.setattr(secrets, "fit", lambda *a, **k: (net, 10.0, 0.5))
+    texts = ["set_" + "name_" * 10 + "1=" + key for key in ("kkkkk9kkkkkkkkkkkk", "kkkkk8kkkkkkkkkkkk", "k" * 3000 + "9kkkkkkk")] + ["name_name_name_9_name"]
+    rows = {r.doc_id: r for r in secret_scan(frame(spark, texts)).collect()}
+    assert [[(x.start, x.end) for x in rows[i].spans] for i in range(4)] == [[(0, len(texts[0]))], [], [(0, len(texts[2]))], [(0, 21)]]
+
+
 def test_network_gradients():
     net = secrets.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
