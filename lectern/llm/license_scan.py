@@ -72,8 +72,11 @@ RULES = (
     ("all-rights-reserved", "notice", ("reserved",)),
 )
 
-#: A sentence ends at a blank line, or after . ! ? ; : before white space; a line that ends none goes on in the next.
-SENTENCE_END = r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=\s*[A-Z])"
+#: A sentence may end at a blank line, after . ! ? ; : before white space, before a line in capitals or a link; a line
+#: that ends none goes on in the next. Known sentences go over such places: see ``found_ids``.
+SENTENCE_END = r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=\s*[A-Z])|\s+(?=https?://)"
+#: A known sentence, the longest first, that begins and ends where pieces do.
+KNOWN = r"\| (" + "|".join(s.replace(" ", r"(?: \|)? ") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r") (?=\|)"
 #: Every sentence above has one of these words; a text with none is passed over.
 CUE = r"(?i)licen[cs]e|permission|warranty|redistribution|liab|copyright|copy of|free software|public domain|rights reserved"
 
@@ -87,6 +90,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END, -1), normal), lambda s: s != "")
 
 
+def found_ids(text: Column) -> Column:
+    """Identifiers of the known sentences, in order: each is one piece of the text, or several next to each other."""
+    known = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (s, name)))
+    joined = F.concat(F.lit("| "), F.array_join(sentences(text), " | "), F.lit(" |"))
+    return F.transform(F.regexp_extract_all(joined, F.lit(KNOWN), F.lit(1)), lambda s: F.try_element_at(known, F.replace(s, F.lit(" |"), F.lit(""))))
+
+
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of docs plus sentence_ids, licenses (sorted, distinct) and rules, one of each match.
 
@@ -102,10 +112,8 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     are constants of the plan, and each row is judged alone.
     """
     t = F.col(text_col)
-    known = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (s, name)))
-    found = F.filter(F.transform(sentences(t), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    ids = F.when(t.rlike(CUE), found).otherwise(none)
+    ids = F.when(t.rlike(CUE), found_ids(t)).otherwise(none)
     rows = docs.select(F.struct("*").alias("d"), F.coalesce(ids, none).alias("ids"))
     rows = rows.select("d", "ids", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("left"))
 
