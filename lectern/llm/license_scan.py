@@ -77,8 +77,8 @@ RULES = (
 SENTENCE_END = r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=\s*[A-Z])|\s+(?=https?://)"
 #: A known sentence, the longest first, that begins and ends where pieces do.
 KNOWN = r"\| (" + "|".join(s.replace(" ", r"(?: \|)? ") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r") (?=\|)"
-#: Every sentence above has one of these words; a text with none is passed over.
-CUE = r"(?i)licen[cs]e|permission|warranty|redistribution|liab|copyright|copy of|free software|public domain|rights reserved"
+#: Every sentence above has one of these words, joined as ``normal`` joins them; a text with none is passed over.
+CUE = r"(?i)licen[cs]e|permission|warranty|redistribution|liab|copyright|copy of|free software|public domain|rights reserved".replace(" ", r"[^\p{L}\p{N}]+")
 
 
 def normal(sentence: Column) -> Column:

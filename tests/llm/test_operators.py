@@ -497,3 +497,8 @@ def test_license_scan_reads_wrapped_texts(spark):
     texts = [mit, apache, gpl % ("; you can redistribute it and/or modify", "; either version 2"), gpl % (": you can redistribute it and/or modify", ", either version 3"), mpl]
     rows = {r.doc_id: r.rules for r in license_scan(frame(spark, texts)).collect()}
     assert [rows[i] for i in range(5)] == [["MIT:text"], ["Apache-2.0:header"], ["GPL-2.0-or-later:header"], ["GPL-3.0-or-later:header"], ["MPL-2.0:header"]]
+
+
+def test_license_scan_cues_may_wrap(spark):
+    texts = ["All rights\nreserved.", "All rights  reserved.", "This is free and unencumbered software released into the public\ndomain."]
+    assert [r.licenses for r in license_scan(frame(spark, texts)).orderBy("doc_id").collect()] == [["all-rights-reserved"]] * 2 + [["Unlicense"]]
