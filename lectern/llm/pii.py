@@ -15,6 +15,9 @@ IP = r"(?<![\w.+-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 FORMS = {"ssn": SSN, "date_iso": DATE_ISO, "date_day": DATE_DAY, "phone": PHONE, "ip": IP, "card": CARD, "email": EMAIL}
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
+#: What is looked for again where a run of numbers was no card: printed groups of a card, and the forms of other kinds.
+GROUPED = r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])"
+AGAIN = "|".join(f"(?:{p})" for p in (FORMS | {"card": GROUPED}).values())
 
 #: Days from 1900-01-01 up to 2099-12-31 are 11 * 29 * 229.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 11 * 29, 229
@@ -132,6 +135,28 @@ def pseudonym(m: Column, key: Column) -> Column:
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind.isin("date_iso", "date_day"), date).when(kind == "email", email).otherwise(m)
 
 
+def _replaced(text: Column, key: Column) -> Column:
+    """text, in which no run of numbers is a card as a whole, with the forms of AGAIN replaced: a struct (text, kinds)."""
+    new = F.transform(F.regexp_extract_all(text, F.lit(AGAIN), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key).alias("to")))
+    pieces = F.zip_with(F.split(text, AGAIN, -1), F.concat(F.transform(new, lambda x: x["to"]), F.array(F.lit(""))), lambda g, x: F.concat(g, x))
+    return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(new, lambda x: x["kind"]), lambda x: x.isNotNull()).alias("kinds"))
+
+
+def _pieces(gaps: Column, new: Column) -> Column:
+    """Structs (text, kind) that make up the text: replaced strings, and between them the rest as it stands (no kind)."""
+    piece = "struct<text:string,kind:string>"
+    start = F.struct(F.array().cast(f"array<{piece}>").alias("done"), F.lit("").alias("open"))
+    rest = lambda x: F.array(F.struct(x.alias("text"), F.lit(None).cast("string").alias("kind")))
+
+    def step(s, x):
+        here = F.concat(s["open"], x["gap"])
+        kept = F.struct(s["done"].alias("done"), F.concat(here, x["to"]).alias("open"))
+        return F.when(x["kind"].isNull(), kept).otherwise(F.struct(F.concat(s["done"], rest(here), F.array(F.struct(x["to"].alias("text"), x["kind"].alias("kind")))).alias("done"), F.lit("").alias("open")))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(new)), new, lambda g, x: F.struct(g.alias("gap"), x["kind"].alias("kind"), x["to"].alias("to")))
+    return F.aggregate(pairs, start, step, lambda s: F.concat(s["done"], rest(F.concat(s["open"], F.element_at(gaps, -1)))))
+
+
 def pii_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The columns of docs with the text's personal data replaced, plus n_found and kinds (of each replacement, in order).
 
@@ -141,7 +166,8 @@ def pii_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
     values get equal pseudonyms in all documents, different values different ones.
     A date or a number written in two formats keeps its link in each of them. Mail
     addresses, which have no such format, become keyed hashes. Strings that
-    only look like one of these stay.
+    only look like one of these stay. Where numbers stand next to each other and are no card as a whole,
+    the other forms and the printed groups of a card are looked for among them.
 
     A null text stays null, an empty one empty, with none found; long texts are
     handled whole. Input columns n_found and kinds are replaced. Rows are
@@ -159,6 +185,11 @@ def pii_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
     joined = F.array_join(F.zip_with(gaps, F.concat(F.transform("new", lambda x: x["to"]), F.array(F.lit(""))), lambda g, x: F.concat(g, x)), "")
     kinds = F.filter(F.transform("new", lambda x: x["kind"]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    text = F.when(F.col("new").isNull(), F.col(f"d.`{text_col}`")).otherwise(joined)
+    plain = F.struct(joined.alias("text"), kinds.alias("kinds"))
+    pieces = F.transform(_pieces(gaps, F.col("new")), lambda x: F.when(x["kind"].isNull(), _replaced(x["text"], k)).otherwise(F.struct(x["text"].alias("text"), F.array(x["kind"]).alias("kinds"))))
+    again = F.struct(F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("text"), F.flatten(F.transform("pieces", lambda x: x["kinds"])).alias("kinds"))
+    held = held.withColumn("pieces", F.when(F.exists("new", lambda x: x["kind"].isNull()), pieces))
+    held = held.withColumn("out", F.when(F.col("pieces").isNotNull(), again).when(F.col("new").isNotNull(), plain))
+    text, kinds = F.when(F.col("new").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.col("out.text")), F.col("out.kinds")
     kept = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in (text_col, "n_found", "kinds")]
     return held.select(*kept, text.alias(text_col), F.coalesce(kinds, none).alias("kinds")).withColumn("n_found", F.size("kinds").cast("long"))

@@ -502,3 +502,17 @@ def test_license_scan_reads_wrapped_texts(spark):
 def test_license_scan_cues_may_wrap(spark):
     texts = ["All rights\nreserved.", "All rights  reserved.", "This is free and unencumbered software released into the public\ndomain."]
     assert [r.licenses for r in license_scan(frame(spark, texts)).orderBy("doc_id").collect()] == [["all-rights-reserved"]] * 2 + [["Unlicense"]]
+
+
+def test_pii_numbers_before_a_form(spark):
+    forms = ["2024-01-15", "415-555-2671", "(415) 555-2671", "123-45-6789", "28.02.1987", "10.0.0.1", "4111 1111 1111 1111", "a.b@c.de"]
+    want = ["date_iso", "phone", "phone", "ssn", "date_day", "ip", "card", "email"]
+    texts = [f"{n} {x}, end" for x in forms for n in ("12345", "id 1003", "5001", "12345678 1235")]
+    alone = {x: r.text for x, r in zip(forms, pii_pseudonyms(frame(spark, forms), "k").orderBy("doc_id").collect())}
+    rows = pii_pseudonyms(frame(spark, texts), "k").orderBy("doc_id").collect()
+    odd = ("5001 4111", "id 1003 4111", "1235 4111")  # four digits before a card's groups make one more group
+    for i, r in enumerate(rows):
+        if not any(o in texts[i] for o in odd):
+            assert r.kinds == [want[i // 4]] and r.text == texts[i].replace(forms[i // 4], alone[forms[i // 4]]), (texts[i], r)
+    both = pii_pseudonyms(frame(spark, ["4111 1111 1111 1111, 1234567890 415 555 2671 or 12345 2024-01-15 at 10.0.0.1"]), "k").first()
+    assert both.kinds == ["card", "phone", "date_iso", "ip"] and "1234567890 " in both.text
