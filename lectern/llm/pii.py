@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import unpack
+
 #: The forms that are looked for, in this order where several fit at one place.
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 SSN = r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -18,9 +20,11 @@ ANY = "|".join(f"(?:{p})" for p in FORMS.values())
 #: What is looked for again where a run of numbers was no card: printed groups of a card, and the forms of other kinds.
 GROUPED = r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])"
 AGAIN = "|".join(f"(?:{p})" for p in (FORMS | {"card": GROUPED}).values())
+#: The same behind a replaced string: nothing begins where that ends.
+AGAIN_BEHIND = rf"(?!\A)(?:{AGAIN})"
 
-#: Days from 1900-01-01 up to 2099-12-31 are 11 * 29 * 229.
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 11 * 29, 229
+#: The 73,049 days from 1900-01-01 up to 2099-12-31 are 17 * 4297.
+FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297
 ROUNDS = 8
 
 
@@ -135,10 +139,10 @@ def pseudonym(m: Column, key: Column) -> Column:
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind.isin("date_iso", "date_day"), date).when(kind == "email", email).otherwise(m)
 
 
-def _replaced(text: Column, key: Column) -> Column:
-    """text, in which no run of numbers is a card as a whole, with the forms of AGAIN replaced: a struct (text, kinds)."""
-    new = F.transform(F.regexp_extract_all(text, F.lit(AGAIN), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key).alias("to")))
-    pieces = F.zip_with(F.split(text, AGAIN, -1), F.concat(F.transform(new, lambda x: x["to"]), F.array(F.lit(""))), lambda g, x: F.concat(g, x))
+def _replaced(text: Column, key: Column, forms: str) -> Column:
+    """text, in which no run of numbers is a card as a whole, with the given forms replaced: a struct (text, kinds)."""
+    new = F.transform(F.regexp_extract_all(text, F.lit(forms), F.lit(0)), lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key).alias("to")))
+    pieces = F.zip_with(F.split(text, forms, -1), F.concat(F.transform(new, lambda x: x["to"]), F.array(F.lit(""))), lambda g, x: F.concat(g, x))
     return F.struct(F.array_join(pieces, "").alias("text"), F.filter(F.transform(new, lambda x: x["kind"]), lambda x: x.isNotNull()).alias("kinds"))
 
 
@@ -169,14 +173,15 @@ def pii_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
     only look like one of these stay. Where numbers stand next to each other and are no card as a whole,
     the other forms and the printed groups of a card are looked for among them.
 
-    A null text stays null, an empty one empty, with none found; long texts are
-    handled whole. Input columns n_found and kinds are replaced. Rows are
-    rewritten where they are: there is no shuffle and no state, and any lost
-    task can run again with the same result. The key is a parameter; who has it
-    can undo the permutation.
+    A null text stays null, an empty one empty, with none found; very long texts are
+    handled whole. Where several forms fit at one place, the first of FORMS counts. Repeated rows
+    are rewritten each, to the same text; an empty table gives no rows. Input columns n_found and kinds are
+    replaced, others kept whatever their names. Rows are rewritten where they are: there is no
+    shuffle and no state, and any lost task can run again with the same result. The key
+    is a parameter; who has it can undo the permutation.
     """
     k = F.lit(key)
-    t = F.col(text_col)
+    t = F.col(f"`{text_col}`")
     found = F.when(t.rlike(r"[0-9]") | t.contains("@"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     held = docs.select(F.struct("*").alias("d"), F.coalesce(found, F.array().cast("array<string>")).alias("m"))
     new = F.transform("m", lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, k).alias("to")))
@@ -186,10 +191,11 @@ def pii_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFra
     kinds = F.filter(F.transform("new", lambda x: x["kind"]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
     plain = F.struct(joined.alias("text"), kinds.alias("kinds"))
-    pieces = F.transform(_pieces(gaps, F.col("new")), lambda x: F.when(x["kind"].isNull(), _replaced(x["text"], k)).otherwise(F.struct(x["text"].alias("text"), F.array(x["kind"]).alias("kinds"))))
+    asis = lambda x: F.struct(x["text"].alias("text"), F.array(x["kind"]).alias("kinds"))
+    pieces = F.transform(_pieces(gaps, F.col("new")), lambda x, i: F.when(x["kind"].isNotNull(), asis(x)).when(i == 0, _replaced(x["text"], k, AGAIN)).otherwise(_replaced(x["text"], k, AGAIN_BEHIND)))
     again = F.struct(F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("text"), F.flatten(F.transform("pieces", lambda x: x["kinds"])).alias("kinds"))
     held = held.withColumn("pieces", F.when(F.exists("new", lambda x: x["kind"].isNull()), pieces))
     held = held.withColumn("out", F.when(F.col("pieces").isNotNull(), again).when(F.col("new").isNotNull(), plain))
     text, kinds = F.when(F.col("new").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.col("out.text")), F.col("out.kinds")
-    kept = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in (text_col, "n_found", "kinds")]
-    return held.select(*kept, text.alias(text_col), F.coalesce(kinds, none).alias("kinds")).withColumn("n_found", F.size("kinds").cast("long"))
+    kinds = F.coalesce(kinds, none)
+    return unpack(held, docs.columns, {text_col: text, "kinds": kinds, "n_found": F.size(kinds).cast("long")})
