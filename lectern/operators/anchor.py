@@ -51,7 +51,8 @@ def fuzzy_candidates(qtokens: DataFrame, ttokens: DataFrame) -> DataFrame:
     """(quote_id, talk_id, start, m, run): runs of m tokens that hold at least half as many distinct tokens of the quote as it has tokens.
 
     Of a quote's d distinct tokens a run must hold c, so it holds one of the d - c + 1
-    rarest. Only those are looked up; the runs around them are then read and counted.
+    rarest. Only those are looked up; the runs around them are cut out of the talk's tokens, held in one row for each
+    quote and talk that meet.
     """
     own = ["talk_id"] if "talk_id" in qtokens.columns else []
     sets = qtokens.groupBy("quote_id", "m").agg(F.collect_set("tok").alias("toks"))
@@ -61,23 +62,31 @@ def fuzzy_candidates(qtokens: DataFrame, ttokens: DataFrame) -> DataFrame:
     rare = each.join(counts, "tok", "left").withColumn("rank", rank).where("rank <= d - ceil(m / 2) + 1").select("quote_id", "m", "tok")
     if own:
         rare = rare.join(qtokens.select("quote_id", "talk_id").distinct(), "quote_id")
-    length = ttokens.groupBy("talk_id").agg((F.max("pos") + 1).alias("n"))
-    met = rare.join(ttokens.select("talk_id", "tok", "pos"), [*own, "tok"]).join(length, "talk_id").where("n >= m")
-    starts = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("pos") - F.col("m") + 1), F.least(F.col("pos"), F.col("n") - F.col("m")))
-    at = met.select("quote_id", "talk_id", "m", F.explode(starts).alias("start")).distinct()
-    at = at.select("quote_id", "talk_id", "m", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("pos"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"])
-    runs = at.join(ttokens.select("talk_id", "pos", "tok"), ["talk_id", "pos"]).groupBy("quote_id", "talk_id", "m", "start").agg(words.alias("words"))
-    held = runs.join(sets.select("quote_id", "toks"), "quote_id").where(F.size(F.array_intersect("words", "toks")) >= F.col("m") * 0.5)
-    return held.select("quote_id", "talk_id", "m", "start", F.array_join("words", " ").alias("run"))
+    met = rare.join(ttokens.select("talk_id", "tok", "pos"), [*own, "tok"]).groupBy("quote_id", "talk_id", "m").agg(F.collect_set("pos").alias("at"))
+    talks = ttokens.groupBy("talk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("words"))
+    met = met.join(talks, "talk_id").join(sets.select("quote_id", "toks"), "quote_id").where(F.size("words") >= F.col("m"))
+    m = F.col("m").cast("int")
+    around = F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p.cast("int") - m + 1), F.least(p.cast("int"), F.size("words") - m)))
+    runs = F.transform(F.array_distinct(F.flatten(around)), lambda s: F.struct(s.cast("long").alias("start"), F.slice("words", s + 1, m).alias("w")))
+    held = F.filter(runs, lambda r: F.size(F.array_intersect(r["w"], F.col("toks"))) >= F.col("m") * 0.5)
+    return met.select("quote_id", "talk_id", "m", F.explode(held).alias("r")).select("quote_id", "talk_id", "m", "r.start", F.array_join("r.w", " ").alias("run"))
 
 
-def ratio(autojunk: bool = True):
-    """The share of matching characters, in order, of a run and a quote, as the sequence matcher of Python's library counts them."""
+def ratio(least: float = 0.0, autojunk: bool = True):
+    """The share of matching characters, in order, of a run and a quote, as the sequence matcher of Python's library counts them;
+    0 where its quick upper bounds already stay below ``least``. What it knows of a quote is kept for the next run."""
 
     @F.arrow_udf("double")
     def of(run: pa.Array, quote: pa.Array) -> pa.Array:
-        return pa.array([difflib.SequenceMatcher(None, a, b, autojunk).ratio() for a, b in zip(run.to_pylist(), quote.to_pylist())], pa.float64())
+        out, match, last = [], difflib.SequenceMatcher(None, "", "", autojunk), None
+        for a, b in zip(run.to_pylist(), quote.to_pylist()):
+            if b != last:
+                match.set_seq2(b)
+                last = b
+            match.set_seq1(a)
+            near = match.real_quick_ratio() >= least and match.quick_ratio() >= least
+            out.append(match.ratio() if near else 0.0)
+        return pa.array(out, pa.float64())
 
     return of
 
@@ -92,7 +101,7 @@ def fuzzy_hits(qtokens: DataFrame, ttokens: DataFrame, least: float = RATIO_SPEE
     Quotes and runs must hold the same numbers."""
     long = qtokens.where(F.col("m") >= SHORT_WORDS)
     runs = fuzzy_candidates(long, ttokens).join(_quote_strings(long), "quote_id").where(same_digits(F.col("run"), F.col("q")))
-    scored = runs.withColumn("ratio", ratio(autojunk)("run", "q")).where(F.col("ratio") >= least)
+    scored = runs.withColumn("ratio", ratio(least, autojunk)("run", "q")).where(F.col("ratio") >= least)
     return scored.groupBy("quote_id", "talk_id").agg(F.max(F.struct("ratio", "start")).alias("x")).select("quote_id", "talk_id", F.col("x.start").alias("pos"), "x.ratio")
 
 

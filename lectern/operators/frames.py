@@ -103,7 +103,7 @@ def timed(cands: DataFrame, interval_ms: int = 2000) -> DataFrame:
     """Adds spans_ms, each sample as long as the interval, and rep_ms: the middle of the first longest span."""
     spans = F.transform("spans", lambda s: F.struct((s["s"] * interval_ms).alias("start_ms"), ((s["e"] + 1) * interval_ms).alias("end_ms")))
     longest = F.aggregate("spans", F.col("spans")[0], lambda a, s: F.when(s["e"] - s["s"] > a["e"] - a["s"], s).otherwise(a))
-    mid = F.floor((longest["s"] + longest["e"]) / 2) * interval_ms + F.lit(interval_ms // 2)
+    mid = (longest["s"] + longest["e"] + 1) * interval_ms / 2
     return cands.withColumn("spans_ms", spans).withColumn("rep_ms", mid.cast("long"))
 
 

@@ -51,3 +51,29 @@ def batch_summary(items: DataFrame, *keys: str) -> DataFrame:
 
 def error_tail(error: Column, most: int) -> Column:
     return F.right(error, F.lit(most))
+
+
+def marked(log: DataFrame, rows: DataFrame, most_error: int = 1000) -> DataFrame:
+    """The log with the rows of stages that have just run: talk_id, stage, status, config_hash, error (its end), seq (after all others
+    of the talk and stage). The log only grows; ``latest`` tells where a talk stands."""
+    last = log.groupBy("talk_id", "stage").agg(F.max("seq").alias("seq"))
+    new = rows.join(last, ["talk_id", "stage"], "left")
+    new = new.select("talk_id", "stage", "status", "config_hash", error_tail(F.col("error"), most_error).alias("error"), (F.coalesce("seq", F.lit(0)) + 1).cast("long").alias("seq"))
+    return log.select("talk_id", "stage", "status", "config_hash", "error", F.col("seq").cast("long").alias("seq")).unionByName(new)
+
+
+def planned(only: Column) -> Column:
+    """The stages to run, in order: all, or those listed and the first one, which no list leaves out."""
+    stages = F.array(*map(F.lit, STAGES))
+    return F.when(only.isNull() | (F.size(only) == 0), stages).otherwise(F.filter(stages, lambda s: (s == STAGES[0]) | F.array_contains(only, s)))
+
+
+def asks_model(only: Column) -> Column:
+    """Does a run with this list of stages need a synthesizer?"""
+    return F.coalesce(only.isNull() | (F.size(only) == 0) | F.array_contains(only, "synthesize"), F.lit(True))
+
+
+def existing_run(dirs: DataFrame, col: str = "path") -> DataFrame:
+    """(id, path): the least of the run folders id__... of each id."""
+    name = F.regexp_extract(col, r"([^/]+?)__[^/]*$", 1)
+    return dirs.select(name.alias("id"), F.col(col).alias("path")).where("id <> ''").groupBy("id").agg(F.min("path").alias("path"))

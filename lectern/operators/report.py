@@ -2,17 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import chip_text, chip_url, hms, spans_label
 
-#: Headings by language.
-LABELS = {"en": {"overview": "Overview", "slides": "Slides", "transcript": "Transcript"}, "he": {"overview": "סקירה", "slides": "שקפים", "transcript": "תמלול"}}
+#: Labels by language.
+LABELS = {
+    "en": {
+        "overview": "Overview",
+        "tldr": "TL;DR",
+        "key_takeaways": "Key takeaways",
+        "glossary": "Glossary",
+        "chapters": "Chapters",
+        "numbers_and_names": "Numbers & names",
+        "slides": "Slides",
+        "on_screen": "on screen",
+        "returned": "returned ×{n}",
+        "not_said_aloud": "On the slide, not said aloud",
+        "transcript": "Transcript for this section",
+        "watch": "Watch",
+        "unverified": "quote not found in transcript",
+        "grounding": "{grounded}/{total} quotes verified against the transcript",
+        "token_recall": "hard-token recall {recall}",
+        "generated_by": "Generated by",
+        "transcript_only": "No slides were detected in this video — this is a transcript-only brief.",
+        "significance": "Why it matters",
+        "window_notes": "Section notes",
+        "theme": "Theme",
+        "source": "slide",
+    },
+    "he": {
+        "overview": "מבט-על",
+        "tldr": "תקציר",
+        "key_takeaways": "תובנות מרכזיות",
+        "glossary": "מילון מונחים",
+        "chapters": "פרקים",
+        "numbers_and_names": "מספרים ושמות",
+        "slides": "שקפים",
+        "on_screen": "על המסך",
+        "returned": "חזר ×{n}",
+        "not_said_aloud": "כתוב על השקף, לא נאמר בקול",
+        "transcript": "התמליל של הקטע הזה",
+        "watch": "צפייה",
+        "unverified": "הציטוט לא אותר בתמליל",
+        "grounding": "{grounded}/{total} ציטוטים אומתו מול התמליל",
+        "token_recall": "כיסוי אסימונים קשיחים {recall}",
+        "generated_by": "נוצר על ידי",
+        "transcript_only": "לא זוהו שקפים בסרטון — זהו תקציר מבוסס-תמליל בלבד.",
+        "significance": "למה זה חשוב",
+        "window_notes": "הערות הקטע",
+        "theme": "ערכת נושא",
+        "source": "שקף",
+    },
+}
 
 
 def label(lang, name: str):
-    """A heading in a language, English where that has none."""
+    """A label in a language, English where that is not known."""
     by_lang = F.create_map(*(F.lit(x) for k, v in LABELS.items() for x in (k, v[name])))
     return F.coalesce(F.try_element_at(by_lang, lang), F.lit(LABELS["en"][name]))
 
@@ -32,3 +79,10 @@ def cards(slides: DataFrame, entries: DataFrame, used: DataFrame) -> DataFrame:
 def embedding_plan(images: DataFrame, most_bytes: int = 25_000_000) -> DataFrame:
     """(talk_id, embed): do a talk's images fit into the report?"""
     return images.groupBy("talk_id").agg((F.sum(F.length("bytes")) <= most_bytes).alias("embed"))
+
+
+def filled(pattern: Column, **values: Column) -> Column:
+    """A label with each {name} replaced by its value."""
+    for name, value in values.items():
+        pattern = F.replace(pattern, F.lit("{" + name + "}"), value.cast("string"))
+    return pattern

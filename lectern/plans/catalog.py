@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scalars as sc
 from lectern.functions import schemas
 from lectern.functions.text import digit_runs, fast_tokens, token_set
-from lectern.operators import anchor, cues, digest, frames, intervals, lineage, recall, report, slides, windows
+from lectern.operators import anchor, brief, cues, digest, frames, intervals, lineage, recall, report, slides, windows
 from lectern.plans.sql import CHAPTERS, CHAPTER_WINDOWS, CUES, DOC_TOKENS, FRAMES, HARD_TOKENS, SEGMENTS, SLIDE_SUMS, SLIDES, TALK_QUOTES, TALK_TOKENS, TALKS, WORD_WINDOWS, with_parts
 from lectern.sources import adapters, captions
 from lectern.sources.tables import materialize, table
@@ -53,11 +53,6 @@ def _chapter_windows(spark: SparkSession, d: str, target: int = 10**9) -> DataFr
     return windows.build_windows(adapters.talks(segs), segs, adapters.chapters(segs, d), target)
 
 
-def _word_windows(spark: SparkSession, d: str, target: int = 120) -> DataFrame:
-    segs = adapters.segments(spark, d)
-    return windows.build_windows(adapters.talks(segs), segs, _no_chapters(spark), target)
-
-
 # Cues.
 
 
@@ -255,26 +250,34 @@ def q18_token_sets(spark, d):
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("least")).where("n > 0")
 
 
-_PHRASES = """, qt AS (SELECT item_id AS quote_id, m, off, list_extract(q, off::INTEGER + 1) AS tok FROM (
-  SELECT item_id, q, len(q) AS m, unnest(range(0, len(q))) AS off FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:%d] AS q FROM benchmark))),
-hits AS (SELECT quote_id, doc_id, pos - off AS pos, m FROM qt JOIN doc_tokens USING (tok) GROUP BY quote_id, doc_id, pos - off, m HAVING count(*) = m)"""
+_PHRASES = """, qt AS (SELECT item_id AS quote_id, part, m, off, list_extract(q, off::INTEGER + 1) AS tok FROM (
+  SELECT item_id, part, q, len(q) AS m, unnest(range(0, len(q))) AS off FROM (SELECT item_id, part, w[part * {n} + 1 : part * {n} + {n}] AS q FROM (
+  SELECT item_id, w, unnest(range(0, (len(w) + {n} - 1) // {n})) AS part FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark))))),
+hits AS (SELECT quote_id, part, doc_id, pos - off AS pos, m FROM qt JOIN doc_tokens USING (tok) GROUP BY quote_id, part, doc_id, pos - off, m HAVING count(*) = m)"""
+
+
+def _benchmark_parts(spark, d, n: int) -> DataFrame:
+    """(quote_id, part, q): each whole benchmark text in consecutive quotes of n tokens, the last one shorter."""
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), fast_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    parts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / n).cast("int"))
+    return w.select("quote_id", "w", F.explode(parts).alias("part")).select("quote_id", F.col("part").cast("long").alias("part"), F.slice("w", F.col("part") * n + 1, n).alias("q"))
 
 
 def _benchmark_hits(spark, d, n: int) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.slice(fast_tokens(F.col("text")), 1, n).alias("q"))
-    qt = q.select("quote_id", F.size("q").cast("long").alias("m"), F.posexplode("q").alias("off", "tok"))
+    qt = _benchmark_parts(spark, d, n).select("quote_id", "part", F.size("q").cast("long").alias("m"), F.posexplode("q").alias("off", "tok"))
     tt = table(spark, d, "documents").select(F.col("doc_id").alias("talk_id"), F.posexplode(fast_tokens(F.col("text"))).alias("pos", "tok"))
-    return anchor.phrase_hits(qt, tt.withColumn("pos", F.col("pos").cast("long"))).withColumnRenamed("talk_id", "doc_id")
+    return anchor.phrase_hits(qt, tt.withColumn("pos", F.col("pos").cast("long")), ("quote_id", "part")).withColumnRenamed("talk_id", "doc_id")
 
 
-@query(with_parts(DOC_TOKENS, _PHRASES % 8, " SELECT quote_id, doc_id, pos, m FROM hits"))
+@query(with_parts(DOC_TOKENS, _PHRASES.format(n=8), " SELECT quote_id, part, doc_id, pos, m FROM hits"))
 def q19_phrase_hits(spark, d):
     return _benchmark_hits(spark, d, 8)
 
 
-@query(with_parts(DOC_TOKENS, _PHRASES % 2, " SELECT quote_id, doc_id, count(*) AS places, min(pos) AS pos, count(*) > 3 AS ambiguous FROM hits GROUP BY ALL"))
+@query(with_parts(DOC_TOKENS, _PHRASES.format(n=3), " SELECT quote_id, part, doc_id, count(*) AS places, min(pos) AS pos, count(*) > 3 AS ambiguous FROM hits GROUP BY ALL"))
 def q20_short_ambiguity(spark, d):
-    return _benchmark_hits(spark, d, 2).groupBy("quote_id", "doc_id").agg(F.count("*").alias("places"), F.min("pos").alias("pos"), (F.count("*") > anchor.SHORT_PLACES).alias("ambiguous"))
+    places = F.count("*")
+    return _benchmark_hits(spark, d, 3).groupBy("quote_id", "part", "doc_id").agg(places.alias("places"), F.min("pos").alias("pos"), (places > anchor.SHORT_PLACES).alias("ambiguous"))
 
 
 @query(with_parts(SEGMENTS, TALK_TOKENS, TALK_QUOTES, """
@@ -290,9 +293,11 @@ def q21_ellipsis(spark, d):
 
 
 def _talk_quotes(spark, d) -> DataFrame:
-    """Quotes of each talk's own turns, and changed ones."""
+    """Quotes of each talk's own turns, cut from every run of twelve words, and changed ones."""
     w = fast_tokens(F.col("text"))
-    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("w")).where(F.size("w") >= 12)
+    t = table(spark, d, "conversations").select("conv_id", "turn", w.alias("all")).where(F.size("all") >= 12)
+    t = t.select("conv_id", "turn", "all", F.explode(F.sequence(F.lit(0), F.floor(F.size("all") / 12).cast("int") - 1)).alias("part"))
+    t = t.select("conv_id", "turn", "part", F.slice("all", F.col("part") * 12 + 1, 12).alias("w"))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     kinds = F.array(
         F.struct(F.lit("exact").alias("kind"), part(2, 8).alias("quote")),
@@ -300,8 +305,9 @@ def _talk_quotes(spark, d) -> DataFrame:
         F.struct(F.lit("fuzzy").alias("kind"), F.concat(part(1, 5), F.lit(" "), F.element_at("w", 6), F.lit("x "), part(7, 4)).alias("quote")),
         F.struct(F.lit("digits").alias("kind"), F.concat(part(1, 5), F.lit(" 40 "), part(7, 4)).alias("quote")),
     )
-    each = t.select("conv_id", "turn", F.posexplode(kinds).alias("i", "x"))
-    return each.select(((F.col("conv_id") * 1000 + F.col("turn")) * 4 + F.col("i")).alias("quote_id"), F.col("conv_id").alias("talk_id"), "x.kind", "x.quote")
+    each = t.select("conv_id", "turn", "part", F.posexplode(kinds).alias("i", "x"))
+    quote_id = (F.col("conv_id").cast("long") * 1000 + F.col("turn")) * 40000 + F.col("part") * 4 + F.col("i")
+    return each.select(quote_id.alias("quote_id"), F.col("conv_id").alias("talk_id"), "x.kind", "x.quote")
 
 
 def _talk_side(spark, d):
@@ -316,7 +322,8 @@ def q22_fuzzy_anchor(spark, d):
 
 @query()
 def q23_slide_anchor(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.array_join(F.slice(fast_tokens(F.col("text")), 3, 9), " ").alias("quote"))
+    parts = _benchmark_parts(spark, d, 9)
+    b = parts.select((F.col("quote_id").cast("long") * 10000 + F.col("part")).alias("quote_id"), F.array_join("q", " ").alias("quote"))
     return anchor.slide_hits(anchor.quote_tokens(b, "quote", fast_tokens), adapters.slides(spark, d), fast_tokens)
 
 
@@ -451,8 +458,9 @@ def q39_adjacent_containment(spark, d):
     return slides.adjacent_containment(adapters.slides(spark, d))
 
 
-_CODE = r"""WITH c AS (SELECT doc_id, source, text, length(text) AS chars, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
-k AS (SELECT *, len(l) > 0 AND (len(list_filter(l, lambda x: regexp_matches(x, '^(\s{2,}\S|def |class |import |func |const |let |var |#include|for ?\(|if ?\()')))::DOUBLE / len(l) > 0.25
+_CODE = r"""WITH c AS (SELECT doc_id, source, text, length(text) AS chars, list_filter(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]'),
+      lambda x: NOT regexp_full_match(x, '[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*')) AS l FROM documents),
+k AS (SELECT *, len(l) > 0 AND (len(list_filter(l, lambda x: regexp_matches(x, '^(?:\s{2,}\S|def |class |import |func |const |let |var |#include|for\s*\(|if\s*\()')))::DOUBLE / len(l) > 0.25
       OR len(regexp_extract_all(text, '[{}();=<>\[\]|&]'))::DOUBLE / length(text) > 0.05) AS code FROM c)"""
 
 
@@ -657,12 +665,15 @@ def q64_report_chips(spark, d):
     return report.chips(p).select("talk_id", "ord", "url", "from_slide", "hms")
 
 
-@query()
+@query(with_parts(SEGMENTS, TALKS, WORD_WINDOWS, r"""
+, said AS (SELECT w.talk_id, w.w_ord, string_agg(text, ' ' ORDER BY seg_idx) AS t FROM word_windows w JOIN segs s ON s.talk_id = w.talk_id AND s.start_ms < hi_ms AND s.end_ms > lo_ms GROUP BY ALL)
+SELECT talk_id, printf('w%02d', w_ord) AS window_id, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')[1:6], ' ') AS quote FROM said"""))
 def q65_extracted_points(spark, d):
-    return digest.extract_points(windows.pack_lines(adapters.segments(spark, d), _word_windows(spark, d)))
+    return digest.extract_points(windows.pack_lines(adapters.segments(spark, d), q05_word_windows(spark, d)))
 
 
-@query()
+@query(with_parts(SEGMENTS, TALKS, WORD_WINDOWS, """
+SELECT w.talk_id, count(*) AS quotes_total, count(*) AS quotes_grounded FROM word_windows w WHERE EXISTS (SELECT 1 FROM segs s WHERE s.talk_id = w.talk_id AND s.start_ms < hi_ms AND s.end_ms > lo_ms) GROUP BY w.talk_id"""))
 def q66_grounded_extracts(spark, d):
     """End to end: windows, lines, extractive points, anchored in their talks. All of them are grounded."""
     segs = adapters.segments(spark, d)
@@ -716,4 +727,172 @@ def q72_synth_inputs(spark, d):
     return got.select("talk_id", "window_id", "title", F.size("primary").cast("long").alias("n_primary"), F.size("context").cast("long").alias("n_context"), F.coalesce(F.get("primary", F.lit(0))["slide_id"], F.lit(-1)).alias("first_slide"))
 
 
+# End to end: answers, entries, overview, stamps, totals, reports.
+
+_WINDOW_SAID = r"""
+, said AS (SELECT w.talk_id, w.w_ord, string_agg(text, ' ' ORDER BY seg_idx) AS t FROM chapter_windows w JOIN segs s ON s.talk_id = w.talk_id AND s.start_ms < hi_ms AND s.end_ms > lo_ms GROUP BY ALL),
+quoted AS (SELECT talk_id, w_ord, array_to_string(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')[1:6], ' ') AS quote FROM said)"""
+
+
+def _answers(spark, d, segs: DataFrame, slide_rows: DataFrame) -> DataFrame:
+    talks = adapters.talks(segs)
+    w = materialize(windows.build_windows(talks, segs, adapters.chapters(segs, d), 10**9), "windows")
+    return brief.answers(w, windows.pack_lines(segs, w), intervals.assign_slides(slide_rows, w), slide_rows)
+
+
+def _brief(spark, d, tag: str):
+    """(segments, slides, answers), each written once."""
+    segs, shown = materialize(adapters.segments(spark, d), "segments"), materialize(adapters.slides(spark, d), "slides")
+    return segs, shown, materialize(_answers(spark, d, segs, shown), f"answers-{tag}")
+
+
+def _stamped(spark, d, tag: str):
+    segs, shown, said = _brief(spark, d, tag)
+    entries = materialize(brief.slide_entries(said, shown), "entries")
+    return segs, entries, brief.stamped(brief.streams(brief.overview(said), entries, brief.window_points(said)), segs, shown)
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, SLIDES, SLIDE_SUMS, _PRIMARY, _WINDOW_SAID, """
+SELECT h.talk_id, h.slide_id, printf('w%02d', h.w_ord) AS window_id, coalesce(nullif(trim(string_split(trim(ocr_text), chr(10))[1]), ''), 'Slide ' || idx) AS heading, quote
+FROM homes h JOIN slides s USING (talk_id, slide_id) LEFT JOIN quoted q ON q.talk_id = h.talk_id AND q.w_ord = h.w_ord"""))
+def q73_slide_entries(spark, d):
+    _, shown, said = _brief(spark, d, "entries")
+    return brief.slide_entries(said, shown).select("talk_id", "slide_id", "window_id", "heading", "quote")
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, SLIDES, SLIDE_SUMS, _PRIMARY, _WINDOW_SAID, """
+SELECT w.talk_id, w.w_ord, printf('w%02d', w.w_ord) AS window_id, quote FROM chapter_windows w LEFT JOIN quoted q ON q.talk_id = w.talk_id AND q.w_ord = w.w_ord
+WHERE NOT EXISTS (SELECT 1 FROM homes h WHERE h.talk_id = w.talk_id AND h.w_ord = w.w_ord)"""))
+def q74_window_points(spark, d):
+    return brief.window_points(_brief(spark, d, "points")[2])
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, """
+SELECT talk_id, string_agg(rtrim(printf('w%02d [%02d:%02d:%02d] ', w_ord, s // 3600, s % 3600 // 60, s % 60) || title), chr(10) ORDER BY w_ord) AS outline
+FROM (SELECT *, (lo_ms // 1000)::BIGINT AS s FROM chapter_windows) GROUP BY talk_id"""))
+def q75_outline(spark, d):
+    return brief.outline(_chapter_windows(spark, d))
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, SLIDES, SLIDE_SUMS, _PRIMARY, _WINDOW_SAID, """
+, all_windows AS (SELECT w.talk_id, w.w_ord, quote FROM chapter_windows w LEFT JOIN quoted q ON q.talk_id = w.talk_id AND q.w_ord = w.w_ord),
+said6 AS (SELECT talk_id, 'chapters' AS path, quote FROM all_windows UNION ALL
+SELECT talk_id, 'takeaways', arg_min(quote, w_ord) FROM all_windows WHERE coalesce(quote, '') <> '' GROUP BY talk_id UNION ALL
+SELECT h.talk_id, 'slides', quote FROM homes h LEFT JOIN all_windows a ON a.talk_id = h.talk_id AND a.w_ord = h.w_ord UNION ALL
+SELECT talk_id, 'windows', quote FROM all_windows a WHERE NOT EXISTS (SELECT 1 FROM homes h WHERE h.talk_id = a.talk_id AND h.w_ord = a.w_ord))
+SELECT talk_id, path, count(*) AS points, count(*) FILTER (WHERE coalesce(quote, '') <> '') AS quotes FROM said6 GROUP BY ALL"""))
+def q76_quote_streams(spark, d):
+    _, shown, said = _brief(spark, d, "streams")
+    six = brief.streams(brief.overview(said), brief.slide_entries(said, shown), brief.window_points(said))
+    return six.groupBy("talk_id", "path").agg(F.count("*").alias("points"), F.count_if(F.coalesce("quote", F.lit("")) != "").alias("quotes"))
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, TALK_TOKENS, _WINDOW_SAID, r"""
+, ct AS (SELECT talk_id, w_ord, quote, len(w) AS m, unnest(range(0, len(w))) AS off, unnest(w) AS tok FROM (SELECT *, regexp_extract_all(lower(quote), '[\p{L}\p{N}]+') AS w FROM quoted)),
+h AS (SELECT talk_id, w_ord, m, pos - off AS pos FROM ct JOIN talk_tokens USING (talk_id, tok) GROUP BY talk_id, w_ord, m, pos - off HAVING count(*) = m),
+f AS (SELECT talk_id, w_ord, min(pos) AS pos FROM h GROUP BY talk_id, w_ord, m HAVING m >= 4 OR count(*) <= 3)
+SELECT w.talk_id, w.w_ord - 1 AS ord, quote, t AS start_ms FROM chapter_windows w LEFT JOIN quoted q ON q.talk_id = w.talk_id AND q.w_ord = w.w_ord
+LEFT JOIN f ON f.talk_id = w.talk_id AND f.w_ord = w.w_ord LEFT JOIN talk_tokens k ON k.talk_id = f.talk_id AND k.pos = f.pos"""))
+def q77_chapter_stamps(spark, d):
+    return brief.chapter_starts(_stamped(spark, d, "stamps")[2])
+
+
+@query()
+def q78_verification(spark, d):
+    """A whole brief of every talk, verified: quotes, grounded quotes, hard-token recall, and whether it is weak."""
+    segs, entries, marked = _stamped(spark, d, "verified")
+    out = brief.verified(materialize(marked, "stamped"), entries, segs)
+    return out.select("talk_id", "quotes_total", "quotes_grounded", "token_recall", F.array_join("missing", ",").alias("missing"), "weak")
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, "SELECT talk_id, label, count(*) AS calls, sum(cost) AS cost FROM (SELECT talk_id, printf('map_w%02d', w_ord) AS label, 0.0::DOUBLE AS cost FROM chapter_windows UNION ALL SELECT talk_id, 'reduce', 0.0 FROM talks) GROUP BY ALL"))
+def q79_call_audit(spark, d):
+    _, shown, said = _brief(spark, d, "calls")
+    return brief.calls(said, shown).groupBy("talk_id", "label").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
+
+
+@query(_RUNS + """, fresh AS (SELECT o_custkey AS talk_id, 'verify' AS stage, max(o_comment) AS said FROM (SELECT o_custkey, 'p' || o_orderpriority || o_orderstatus AS o_comment FROM orders) GROUP BY ALL),
+grown AS (SELECT talk_id, stage, status, NULL AS error FROM latest l WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.talk_id = l.talk_id AND f.stage = l.stage) UNION ALL SELECT talk_id, stage, 'failed', right(said, 5) FROM fresh)
+SELECT talk_id, stage, status, error FROM grown""")
+def q80_stage_log(spark, d):
+    """A stage has run for every talk and failed: the log grows by a row for each, with the end of its error."""
+    said = F.concat(F.lit("p"), "o_orderpriority", "o_orderstatus")
+    fresh = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("talk_id")).agg(F.max(said).alias("error"))
+    fresh = fresh.select("talk_id", F.lit("verify").alias("stage"), F.lit("failed").alias("status"), F.lit("h1").alias("config_hash"), "error")
+    log = lineage.marked(_runs(spark, d).withColumn("error", F.lit(None).cast("string")), fresh, 5)
+    return lineage.latest(log, ("talk_id", "stage")).select("talk_id", "stage", "status", "error")
+
+
+@query("""SELECT doc_id, CASE CASE WHEN lang = 'en' THEN 'en' ELSE 'he' END WHEN 'en' THEN 'Key takeaways' ELSE 'תובנות מרכזיות' END AS title,
+CASE WHEN lang = 'en' THEN 'hard-token recall ' || n_chars ELSE 'כיסוי אסימונים קשיחים ' || n_chars END AS recall, 'Glossary' AS other FROM documents""")
+def q81_labels(spark, d):
+    lang = F.when(F.col("lang") == "en", "en").otherwise("he")
+    said = report.filled(report.label(lang, "token_recall"), recall=F.col("n_chars"))
+    return table(spark, d, "documents").select("doc_id", report.label(lang, "key_takeaways").alias("title"), said.alias("recall"), report.label(F.lit("xx"), "glossary").alias("other"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * 2) || '%' AS share FROM lineitem")
+def q82_percent(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sc.percent(F.col("l_quantity") / 50).alias("share"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN date_diff('day', ts::DATE, DATE '2024-03-01') > 60 END AS is_old FROM events")
+def q83_version_age(spark, d):
+    version = F.when(F.col("event_id") % 5 != 0, F.concat(F.date_format("ts", "yyyy.MM.dd"), F.lit(".1"))).otherwise("v7")
+    return table(spark, d, "events").select("event_id", sc.is_old(version, F.lit("2024-03-01").cast("date")).alias("is_old"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN lang WHEN doc_id % 2 = 0 THEN source ELSE '' END AS text,
+CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 'vision' WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'tesseract' ELSE 'vision' END AS engine FROM documents""")
+def q84_ocr_ladder(spark, d):
+    i = F.col("doc_id")
+    there = i % 3 != 0
+    vision = F.when(there, F.when(i % 4 == 0, F.col("lang")).otherwise(""))
+    other = F.when(i % 2 == 0, F.col("source")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", captions.recognised(vision, other, there).alias("r")).select("doc_id", "r.text", "r.engine")
+
+
+@query("""SELECT page_id::VARCHAR AS id, url, CASE WHEN page_id % 3 = 0 THEN 'untitled' ELSE 'page ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'owner' ELSE 'up' END AS channel,
+CASE WHEN page_id % 4 = 0 THEN 0.0 ELSE page_id * 1.5 END::DOUBLE AS duration_s, length(substr(html, 1, 2000)) AS n_description, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'a,b' END AS manual FROM pages""")
+def q85_metadata(spark, d):
+    i = F.col("page_id")
+    info = table(spark, d, "pages").select(
+        i.cast("string").alias("id"), F.lit(None).cast("string").alias("webpage_url"), "url", F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("page "), i.cast("string"))).alias("title"),
+        F.when(i % 2 == 0, "owner").otherwise("").alias("channel"), F.lit("up").alias("uploader"), F.when(i % 4 != 0, i * 1.5).cast("double").alias("duration"), F.lit(None).cast("string").alias("upload_date"),
+        F.lit("en").alias("language"), F.col("html").alias("description"), F.lit(None).cast("array<struct<title:string,start_time:double,end_time:double>>").alias("chapters"),
+        F.when(i % 5 != 0, F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.lit("y"))).alias("subtitles"), F.lit(None).cast("map<string,string>").alias("automatic_captions"),
+    )
+    kept = captions.distill(info)
+    return kept.select("id", "url", "title", "channel", "duration_s", F.length("description").cast("long").alias("n_description"), F.array_join("manual", ",").alias("manual"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'fetch,slides,transcript,align,synthesize,verify,render' WHEN 1 THEN 'fetch,verify,render' ELSE 'fetch,synthesize' END AS stages, c_custkey % 3 <> 1 AS asks FROM customer""")
+def q86_planned_stages(spark, d):
+    i = F.col("c_custkey") % 3
+    only = F.when(i == 1, F.array(F.lit("render"), F.lit("verify"))).when(i == 2, F.array(F.lit("synthesize")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(lineage.planned(only), ",").alias("stages"), lineage.asks_model(only).alias("asks"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)""")
+def q87_distinct_in_order(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(fast_tokens(F.col("text"))), " ").alias("words"))
+
+
+@query("SELECT 'c' || o_custkey AS id, min('/runs/c' || o_custkey || '__' || o_orderkey || '-talk') AS path FROM orders GROUP BY o_custkey")
+def q88_existing_run(spark, d):
+    path = F.concat(F.lit("/runs/c"), F.col("o_custkey").cast("string"), F.lit("__"), F.col("o_orderkey").cast("string"), F.lit("-talk"))
+    odd = spark.createDataFrame([("/runs/notes",)], "path string")
+    return lineage.existing_run(table(spark, d, "orders").select(path.alias("path")).unionByName(odd))
+
+
+@query(with_parts(SEGMENTS, TALKS, CHAPTERS, CHAPTER_WINDOWS, SLIDES, SLIDE_SUMS, _PRIMARY, """
+SELECT h.talk_id, h.slide_id, coalesce(nullif(trim(string_split(trim(ocr_text), chr(10))[1]), ''), 'Slide ' || idx) AS heading,
+printf('%02d:%02d:%02d', first_seen_ms // 1000 // 3600, first_seen_ms // 1000 % 3600 // 60, first_seen_ms // 1000 % 60) AS hms FROM homes h JOIN slides USING (talk_id, slide_id) WHERE h.slide_id % 2 = 0"""))
+def q89_report_cards(spark, d):
+    """Cards of those slides that the digest has: here, every second one."""
+    _, shown, said = _brief(spark, d, "cards")
+    entries = brief.slide_entries(said, shown)
+    return report.cards(shown, entries, shown.where("slide_id % 2 = 0")).select("talk_id", "slide_id", "heading", "hms")
+
+
 __all__ = ["FLAGSHIP", "Window", "oracle_sql", "queries"]

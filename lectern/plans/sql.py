@@ -39,20 +39,21 @@ FROM (SELECT talk_id, slide_id, unnest(spans).start_ms AS a, unnest(spans).end_m
 
 DOC_TOKENS = r"""doc_tokens AS (SELECT doc_id, unnest(range(0, len(w))) AS pos, unnest(w) AS tok FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))"""
 
-TALK_TOKENS = r"""talk_tokens AS (SELECT talk_id, row_number() OVER (PARTITION BY talk_id ORDER BY seg_idx, off) - 1 AS pos, tok FROM (
-SELECT talk_id, seg_idx, unnest(range(0, len(w))) AS off, unnest(w) AS tok FROM (SELECT talk_id, seg_idx, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM segs)))"""
+TALK_TOKENS = r"""talk_tokens AS (SELECT talk_id, row_number() OVER (PARTITION BY talk_id ORDER BY seg_idx, off) - 1 AS pos, tok, t FROM (
+SELECT talk_id, seg_idx, t, unnest(range(0, len(w))) AS off, unnest(w) AS tok FROM (SELECT talk_id, seg_idx, start_ms AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM segs)))"""
 
-TALK_QUOTES = r"""turn_words AS (SELECT * FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations) WHERE len(w) >= 12),
-quotes AS (SELECT (conv_id * 1000 + turn) * 4 AS quote_id, conv_id AS talk_id, 'exact' AS kind, array_to_string(w[2:9], ' ') AS quote FROM turn_words
-UNION ALL SELECT (conv_id * 1000 + turn) * 4 + 1, conv_id, 'ellipsis', array_to_string(w[1:4], ' ') || ' … ' || array_to_string(w[7:10], ' ') FROM turn_words
-UNION ALL SELECT (conv_id * 1000 + turn) * 4 + 2, conv_id, 'fuzzy', array_to_string(w[1:5], ' ') || ' ' || w[6] || 'x ' || array_to_string(w[7:10], ' ') FROM turn_words
-UNION ALL SELECT (conv_id * 1000 + turn) * 4 + 3, conv_id, 'digits', array_to_string(w[1:5], ' ') || ' 40 ' || array_to_string(w[7:10], ' ') FROM turn_words)"""
+TALK_QUOTES = r"""turn_words AS (SELECT conv_id, (conv_id::BIGINT * 1000 + turn) * 40000 + part * 4 AS base_id, words[part * 12 + 1 : part * 12 + 12] AS w FROM (
+SELECT *, unnest(range(0, len(words) // 12)) AS part FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM conversations))),
+quotes AS (SELECT base_id AS quote_id, conv_id AS talk_id, 'exact' AS kind, array_to_string(w[2:9], ' ') AS quote FROM turn_words
+UNION ALL SELECT base_id + 1, conv_id, 'ellipsis', array_to_string(w[1:4], ' ') || ' … ' || array_to_string(w[7:10], ' ') FROM turn_words
+UNION ALL SELECT base_id + 2, conv_id, 'fuzzy', array_to_string(w[1:5], ' ') || ' ' || w[6] || 'x ' || array_to_string(w[7:10], ' ') FROM turn_words
+UNION ALL SELECT base_id + 3, conv_id, 'digits', array_to_string(w[1:5], ' ') || ' 40 ' || array_to_string(w[7:10], ' ') FROM turn_words)"""
 
 #: Words spelt out, since RE2 knows word boundaries of ASCII only.
 HARD_TOKENS = r"""hard AS (
 SELECT doc_id, 'acronym' AS family, unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{1,5}'))) AS token FROM documents UNION ALL
-SELECT doc_id, 'version', unnest(regexp_extract_all(text, '\bv?\d+(?:\.\d+)+\b')) FROM documents UNION ALL
-SELECT doc_id, 'unit', unnest(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?\s?(?:%|ms|s|sec|min|hours?|fps|[gmkt]b|k|b|x|×)\b')) FROM documents UNION ALL
+SELECT doc_id, 'version', unnest(regexp_extract_all(text, '\bv?\d+\.\d+(?:\.\d+)*\b')) FROM documents UNION ALL
+SELECT doc_id, 'unit', unnest(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?\s?(?:%|ms|s|sec|min|hours?|fps|gb|mb|kb|tb|k|b|x|×)\b')) FROM documents UNION ALL
 SELECT doc_id, 'flag', unnest(regexp_extract_all(text, '--[a-z][\w-]+')) FROM documents UNION ALL
 SELECT doc_id, 'identifier', unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:-[\p{L}\p{M}\p{N}_]+)*'), lambda x: regexp_full_match(x, '[\p{L}\p{M}\p{N}_]+([-_][\p{L}\p{M}\p{N}_]+)+'))) FROM documents)"""
 
