@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import token_set
+from lectern.sources.tables import materialize
 
 CONTAINED, ALIKE, BUILD_GAP_MS, LEAST_TOKENS = 0.90, 0.92, 15_000, 3
 SLIDE = "talk_id long, slide_id long, first_seen_ms long, builds long, spans array<struct<start_ms:long,end_ms:long>>, on_screen_ms long, times_returned long"
@@ -23,25 +27,34 @@ def adjacent_containment(slides: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(texts: DataFrame, least: float = ALIKE, id_col: str = "slide_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, a, b, jaccard) of all rows (id_col, toks) whose token sets are alike.
+    """(keys, a, b, jaccard) of rows (id_col, toks) whose token sets are alike.
 
-    Tokens are put in order from rare to frequent; two sets that reach the likeness must
-    share one of their rarest tokens, so only those are joined, and pairs
-    too different in size don't meet.
+    Rows with equal sets are a class, known by its least id: the pairs are those between classes, and each other member with its
+    own class, so copies never make all their pairs. Tokens are put in order from rare to frequent; two sets that
+    reach the likeness must share one of their rarest tokens, so only those are joined, and pairs
+    too different in size don't meet. A token of one class only takes its place in that order, but never moves. Tokens are
+    known by 64-bit hashes, sets by 128 bits.
     """
-    sized = texts.select(*keys, id_col, "toks", F.size("toks").alias("n")).where(F.col("n") >= LEAST_TOKENS)
-    each = sized.select(*keys, id_col, "n", F.explode("toks").alias("tok"))
-    counts = each.groupBy("tok").agg(F.count("*").alias("times"))
-    ordered = each.join(counts, "tok").groupBy(*keys, id_col, "n").agg(F.array_sort(F.collect_list(F.struct("times", "tok"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)
-    tokens = ordered.select(*keys, id_col, "n", F.explode(prefix).alias("x")).select(*keys, id_col, "n", "x.tok")
-    a, b = (tokens.select(*keys, "tok", F.col(id_col).alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    sized = texts.select(*keys, F.col(id_col).alias("id"), F.array_sort(F.transform("toks", lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") >= LEAST_TOKENS)
+    sized = materialize(sized.select(*keys, "id", "h", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2")), "token-sets")
+    heads = materialize(sized.groupBy(*keys, "s1", "s2").agg(F.min("id").alias("head")), "set-heads")
+    members = sized.select(*keys, "id", "s1", "s2").join(heads, [*keys, "s1", "s2"]).where("id != head").select(*keys, F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    own = materialize(sized.join(heads.select(*keys, F.col("head").alias("id")), [*keys, "id"], "left_semi").select(*keys, "id", "h", F.size("h").alias("n")), "class-sets")
+
+    each = own.select(*keys, "id", "n", F.explode("h").alias("tok"))
+    counts = materialize(each.groupBy(*keys, "tok").agg(F.count("*").alias("times")).where("times > 1"), "token-counts")
+    ordered = each.join(counts, [*keys, "tok"]).groupBy(*keys, "id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "tok"))).alias("o"))
+    prefix = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1 - (F.col("n") - F.size("o"))
+    tokens = ordered.select(*keys, "id", "n", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("x")).select(*keys, "id", "n", "x.tok")
+    tokens = materialize(tokens, "prefix-tokens")
+    a, b = (tokens.select(*keys, "tok", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least
     pairs = a.join(b, [*keys, "tok"]).where((F.col("a") < F.col("b")) & near).select(*keys, "a", "b").distinct()
     for x in "ab":
-        pairs = pairs.join(sized.select(*keys, F.col(id_col).alias(x), F.col("toks").alias(f"t_{x}")), [*keys, x])
-    j = F.size(F.array_intersect("t_a", "t_b")) / F.size(F.array_union("t_a", "t_b"))
-    return pairs.select(*keys, "a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)
+        pairs = pairs.join(own.select(*keys, F.col("id").alias(x), F.col("h").alias(f"h_{x}")), [*keys, x])
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("h_a", "h_b")))
+    j = F.col("both") / (F.size("h_a") + F.size("h_b") - F.col("both"))
+    return pairs.select(*keys, "a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least).unionByName(members)
 
 
 def _fused(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -74,16 +87,27 @@ def _collapse(rows: list[dict]) -> list[dict]:
         else:
             i += 1
     out: list[dict] = []
+    by_size: dict[int, list[int]] = {}
     for s in deck:
         t = s["toks"]
-        twin = next((k for k in out if k["toks"] and len(t & k["toks"]) / len(t | k["toks"]) >= ALIKE), None) if len(t) >= LEAST_TOKENS else None
+        n = len(t)
+        # Only sets near enough in size can be alike; the first of those that are takes the slide in.
+        sizes = range(math.floor(n * ALIKE), math.ceil(n / ALIKE) + 1) if n >= LEAST_TOKENS else ()
+        near = heapq.merge(*(by_size[m] for m in sizes if m in by_size))
+        twin = next((k for k in near if _alike(t, out[k]["toks"])), None)
         if twin is None:
+            by_size.setdefault(n, []).append(len(out))
             out.append(s)
         else:
-            _take(twin, s)
+            _take(out[twin], s)
     return out
 
 
+def _alike(a: set, b: set) -> bool:
+    both = len(a & b)
+    return bool(b) and both / (len(a) + len(b) - both) >= ALIKE
+
+
 def _take(to: dict, other: dict) -> None:
     to["spans"] = sorted(to["spans"] + other["spans"], key=lambda x: x[0])
     to["first_seen_ms"] = min(to["first_seen_ms"], other["first_seen_ms"])

@@ -423,10 +423,12 @@ def q35b_frame_stats(spark, d):
 # Slides.
 
 
-@query(with_parts(DOC_TOKENS, """, s AS (SELECT DISTINCT doc_id, tok FROM doc_tokens WHERE length(tok) >= 2), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, common::DOUBLE / (m.n + o.n - common) AS jaccard FROM p JOIN z m ON m.doc_id = a JOIN z o ON o.doc_id = b WHERE m.n >= 3 AND o.n >= 3 AND common::DOUBLE / (m.n + o.n - common) >= 0.92"""))
+@query(with_parts(DOC_TOKENS, """, l AS (SELECT doc_id, list_sort(list_distinct(list(tok))) AS l FROM doc_tokens WHERE length(tok) >= 2 GROUP BY doc_id HAVING count(DISTINCT tok) >= 3),
+c AS (SELECT doc_id, l, min(doc_id) OVER (PARTITION BY l) AS head FROM l), s AS (SELECT doc_id, len(l) AS n, unnest(l) AS tok FROM c WHERE doc_id = head),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, count(*) AS common FROM s x JOIN s y ON x.tok = y.tok AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, common::DOUBLE / (n_a + n_b - common) AS jaccard FROM p WHERE common::DOUBLE / (n_a + n_b - common) >= 0.92 UNION ALL SELECT head, doc_id, 1.0 FROM c WHERE doc_id <> head"""))
 def q36_jaccard_pairs(spark, d):
+    """Pairs between classes of equal token sets, and each member with the least one of its class."""
     return slides.jaccard_pairs(table(spark, d, "documents").select("doc_id", token_set(F.col("text")).alias("toks")), id_col="doc_id")
 
 

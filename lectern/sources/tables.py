@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset (tests, one machine) is a temporary folder made and
-    put into the session's settings.
+    Only where that is unset on one machine (a local master, as in tests) is a temporary folder made and
+    put into the session's settings; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
