@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import small_batches
+from lectern.llm.common import small_batches, unpack
 
 #: The base rules, their least lengths, and the order of kinds ("net" for the network's spans).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -19,8 +19,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "net")
 
-#: What the network judges: runs of at least 16 characters that secrets are made of, holding a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the network judges: runs of at least 12 characters that secrets are made of, with a letter and a digit or with
+#: a capital after a small letter.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+MIXED = re.compile(r"[a-z][A-Z]|[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
 LEFT, INSIDE, RIGHT = 24, 40, 12
 LENGTH, CHARS, DIM, WIDTH, FILTERS = LEFT + INSIDE + RIGHT, 130, 8, 5, 24
 
@@ -37,7 +39,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    return [m.span() for m in CANDIDATE.finditer(text) if MIXED.search(m[0])]
 
 
 def encode(text: str, lo: int, hi: int) -> np.ndarray:
@@ -126,68 +128,149 @@ class Network:
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
 
 
-def _made_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """Labelled findings made up by rule: (text, start, end, label). Half are secrets of many forms, half look-alikes."""
-    r = np.random.RandomState(seed)
-    pick = lambda chars, k: "".join(chars[i] for i in r.randint(0, len(chars), k))
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: pick(low, r.randint(2, 9))
-    say = lambda k: " ".join(word() for _ in range(k))
-    out = []
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+class _Maker:
+    """Makes up findings by rule: secrets and look-alikes of several kinds."""
+
+    def __init__(self, seed: int):
+        self.r = np.random.RandomState(seed)
+
+    def pick(self, chars: str, lo: int, hi: int | None = None) -> str:
+        return "".join(chars[i] for i in self.r.randint(0, len(chars), lo if hi is None else self.r.randint(lo, hi + 1)))
+
+    def word(self) -> str:
+        """Made of syllables, as words are."""
+        return "".join(self.pick("bcdfghklmnprstvw", 1) + self.pick("aeiou", 1) + (self.pick("nrstl", 1) if self.r.rand() < 0.4 else "") for _ in range(self.r.randint(1, 4)))
+
+    def name(self, n: int, joint: str) -> str:
+        return joint.join(self.word() for _ in range(n))
+
+    def secret(self, kind: str) -> str:
+        every = LOWER + UPPER + DIGITS
+        return {
+            "hex": lambda: self.pick(DIGITS + "abcdef", int(self.r.choice([16, 20, 32, 40, 64]))).upper(),
+            "plain": lambda: self.pick(every, 20, 48),
+            "base64": lambda: self.pick(every + "+/", 24, 60) + "=" * self.r.randint(0, 3),
+            "url64": lambda: self.pick(every + "_-", 22, 64),
+            "prefixed": lambda: self.pick(LOWER, 2, 4) + ["_", "-"][self.r.randint(2)] + self.pick(every, 24, 40),
+            "live": lambda: self.pick(LOWER, 2) + "_" + ["live", "test", "prod"][self.r.randint(3)] + "_" + self.pick(every, 20, 32),
+            "dashed": lambda: "-".join(self.pick(UPPER + DIGITS, 5) for _ in range(5)),
+            "grouped": lambda: "-".join(self.pick(DIGITS + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+            "dotted": lambda: "-".join([self.pick(LOWER, 4), self.pick(DIGITS, 10, 12), self.pick(every, 20, 28)]),
+            "lower": lambda: self.pick(LOWER + DIGITS, 20, 40),
+            "after": lambda: self.word() + "_" + self.word() + "=" + self.pick(every, 20, 40),
+            "short": lambda: self.pick(every, 14, 18) + self.pick(DIGITS, 1),
+        }[kind]()
+
+    def other(self, kind: str) -> str:
+        d = lambda n: self.pick(DIGITS, n)
+        return {
+            "words_digits": lambda: self.word() + self.word() + self.word() + d(self.r.randint(1, 4)),
+            "slug": lambda: self.name(4, "-") + "-" + d(self.r.randint(1, 5)),
+            "path": lambda: "/" + self.name(3, "/") + "/" + self.word() + d(1) + "/" + self.word(),
+            "snake": lambda: self.name(3, "_") + "_" + d(self.r.randint(1, 4)),
+            "constant": lambda: self.name(3, "_").upper() + "_" + d(1),
+            "time": lambda: f"{self.r.randint(1950, 2035)}-{self.r.randint(10, 13)}-{self.r.randint(10, 29)}T{d(6)}Z",
+            "camel": lambda: "".join(self.word().title() for _ in range(self.r.randint(3, 5))) + (d(self.r.randint(1, 3)) if self.r.rand() < 0.5 else ""),
+            "method": lambda: self.word() + "".join(self.word().title() for _ in range(self.r.randint(2, 4))),
+            "part": lambda: self.pick(UPPER, 2, 3) + "-" + d(4) + "-" + d(4) + "-" + self.pick(UPPER, 1),
+            "versioned": lambda: self.name(2, "-") + "-v" + d(1) + "-" + d(2) + "-" + d(1),
+            "sum": lambda: self.word() + "=" + d(3) + "+" + self.word() + "=" + d(3) + "/" + d(2),
+            "query": lambda: self.word() + "=" + self.word() + d(2) + "-" + self.word(),
+            "rule": lambda: ["-", "=", "_"][self.r.randint(3)] * self.r.randint(12, 40) + self.word() + d(1),
+        }[kind]()
+
+    def around(self, secret: bool) -> tuple[str, str]:
+        """A lead and a tail, where no real context is to be had."""
+        leads = ["", "see ", f"{self.word()} = ", f'{self.word()}_key = "', f'"{self.word()}": "', "Authorization: Bearer ", "export KEY=", f"{self.word()}: ", "(", f"{self.name(2, ' ')} "]
+        lead = leads[self.r.randint(len(leads))]
+        return self.name(4, " ") + " " + lead, ["", '"', ".", "\n", ",", ")"][self.r.randint(6)] + " " + self.name(3, " ")
+
+
+SECRETS = ("hex", "plain", "base64", "url64", "prefixed", "live", "dashed", "dotted", "lower", "after", "short", "grouped")
+OTHERS = ("words_digits", "slug", "path", "snake", "constant", "time", "camel", "method", "part", "versioned", "sum", "query", "rule")
+
+
+def made_findings(n: int, seed: int = 11, contexts: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int, str]]:
+    """Labelled findings: (text, start, end, kind), the kinds of SECRETS and OTHERS in turn.
+
+    Each stands between made-up words or, every second one, in a context of the corpus.
+    """
+    make, out = _Maker(seed), []
     for i in range(n):
-        if i % 2 == 0:
-            body = [lambda: pick("0123456789abcdef", r.choice([32, 40, 64])), lambda: pick(low + up + dig, r.randint(20, 48)), lambda: pick(low + up + dig + "+/", r.randint(24, 60)) + "==", lambda: "AKIA" + pick(up + dig, 16), lambda: pick(low, 3) + "_" + pick(low + up + dig, 36), lambda: "-".join(pick(up + dig, 5) for _ in range(5))][r.randint(6)]()
-            lead = [lambda: f'{word()}_key = "', lambda: "token: ", lambda: "secret=", lambda: f"{word()} ", lambda: "Authorization: Bearer ", lambda: f'"{word()}": "', lambda: "export KEY="][r.randint(7)]()
-            label = 1
-        else:
-            body = [lambda: word() + pick(dig, 2) + pick(low, r.randint(14, 24)), lambda: "-".join(word() for _ in range(4)) + "-" + pick(dig, 2), lambda: "/".join(word() for _ in range(3)) + "/" + word() + pick(dig, 1), lambda: "_".join(word() for _ in range(3)) + "_" + pick(dig, 3), lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 13)}-{r.randint(10, 29)}T{pick(dig, 4)}Z", lambda: word() + word() + word() + pick(dig, 1) + word(), lambda: pick(up, 1) + word() + pick(up, 1) + word() + pick(up, 1) + word() + pick(dig, 2)][r.randint(7)]()
-            body += "x" * max(0, 16 - len(body))
-            lead = [lambda: f"{word()} ", lambda: f"{word()}. ", lambda: "(", lambda: "see ", lambda: "/", lambda: f"{word()} = "][r.randint(6)]()
-            label = 0
-        before = say(4) + " " + lead
-        out.append((before + body + [" ", '" ', ". ", "\n", ", "][r.randint(5)] + say(3), len(before), len(before) + len(body), label))
+        good = i % 2 == 0
+        kinds = SECRETS if good else OTHERS
+        kind = kinds[i // 2 % len(kinds)]
+        body = make.secret(kind) if good else make.other(kind)
+        before, after = make.around(good)
+        if contexts and i // 2 % 2:
+            left, right = contexts[make.r.randint(len(contexts))]
+            before, after = left + (" " if make.r.rand() < 0.7 else before.split(" ")[-1]), after[:1] + " " + right
+        out.append((before + body + after, len(before), len(before) + len(body), kind))
     return out
 
 
-def labelled(docs: DataFrame, most: int, text_col: str) -> list[tuple[bytes, int]]:
-    """At most ``most`` of the documents' candidates as (encoded, is it part of a base finding), those of the least hashes."""
+def samples(docs: DataFrame, most: int, text_col: str) -> tuple[list[bytes], list[tuple[str, str]]]:
+    """At most ``most`` encoded base findings that are candidates too, and as many contexts of words, those of the least
+    hashes, in one pass over all texts. Candidates outside the base rules have no label and are not taken."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = [], []
+            xs, kinds = [], []
             for text in _suspects(b.column(0)):
                 spans = base_spans(text)
-                for lo, hi in candidates(text):
-                    xs.append(encode(text, lo, hi).tobytes())
-                    ys.append(int(any(a < hi and lo < e for a, _, e in spans)))
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.int32())], ["x", "y"])
-
-    rows = docs.select(text_col).mapInArrow(found, "x binary, y int").groupBy("x").agg(F.max("y").alias("y"))
-    return [(bytes(r.x), r.y) for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(most // 2).collect()]
-
-
-def fit(found: list[tuple[bytes, int]], made: int = 3000, recall: float = 0.995) -> tuple[Network, float, float]:
-    """A network, a scale and a threshold. sigmoid(scale * logit) is a probability, calibrated on every fifth
-    finding, kept out of the fit; the threshold is the highest at which ``recall`` of those secrets are found."""
-    xs = [np.frombuffer(x, np.uint8) for x, _ in found] + [encode(t, lo, hi) for t, lo, hi, _ in _made_findings(made)]
-    ys = np.asarray([y for _, y in found] + [y for *_, y in _made_findings(made)], np.float32)
-    x = np.asarray(xs)
-    out = np.arange(len(x)) % 5 == 0
-    net = Network()
-    net.fit(x[~out], ys[~out])
-    z, y = net.logits(x[out]), ys[out]
-    scales = np.linspace(0.2, 2, 19)
-    loss = [np.mean(np.logaddexp(0, -s * z * (2 * y - 1))) for s in scales]
+                for lo, hi in candidates(text) if spans else ():
+                    if any(a < hi and lo < e for a, _, e in spans):
+                        xs.append(encode(text, lo, hi).tobytes())
+                        kinds.append("finding")
+                at = text.find(" ", len(text) // 2)
+                if at >= LEFT and len(text) >= at + RIGHT:
+                    xs.append((text[at - LEFT : at] + "\0" + text[at + 1 : at + RIGHT]).encode())
+                    kinds.append("context")
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(kinds, pa.string())], ["x", "kind"])
+
+    rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(found, "x binary, kind string").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("x"), "x"))
+    got = rows.withColumn("rank", rank).where(F.col("rank") <= most).collect()
+    contexts = [tuple(bytes(r.x).decode("utf-8", "replace").split("\0", 1)) for r in got if r.kind == "context"]
+    return sorted(bytes(r.x) for r in got if r.kind == "finding"), sorted(contexts)
+
+
+def fit(found: list[bytes], contexts: list[tuple[str, str]], made: int = 3600, recall: float = 0.95, folds: int = 3, seed: int = 11) -> tuple[Network, float, float]:
+    """A network, a scale and a threshold; sigmoid(scale * logit) is a probability.
+
+    Scale and threshold are set on kinds that a network has not learnt: the kinds are dealt to
+    ``folds``, and for each a network learns from the others. The threshold is the highest at which of every kind of secret at
+    least ``recall`` are found. The network that is returned has learnt from all kinds and from the base rules' findings.
+    """
+    data = made_findings(made, seed, contexts)
+    x = np.asarray([encode(t, lo, hi) for t, lo, hi, _ in data] + [np.frombuffer(f, np.uint8) for f in found])
+    kind = np.asarray([k for *_, k in data] + ["finding"] * len(found))
+    y = (np.isin(kind, SECRETS) | (kind == "finding")).astype(np.float32)
+    fold = np.asarray([(SECRETS + OTHERS).index(k) % folds if k != "finding" else folds for k in kind])
+    z = np.zeros(len(x))
+    for f in range(folds):
+        net = Network()
+        net.fit(x[fold != f], y[fold != f], epochs=4)
+        z[fold == f] = net.logits(x[fold == f])
+    at = fold < folds
+    scales = np.geomspace(0.05, 2, 19)
+    loss = [np.mean(np.logaddexp(0, -s * z[at] * (2 * y[at] - 1))) for s in scales]
     scale = float(scales[int(np.argmin(loss))])
     p = 1 / (1 + np.exp(-scale * z))
-    keeps_recall = float(np.quantile(p[y == 1], 1 - recall)) if (y == 1).any() else 1.0
-    return net, scale, keeps_recall
+    threshold = min(float(np.quantile(p[kind == k], 1 - recall, method="lower")) for k in SECRETS if (kind == k).any())
+    net = Network()
+    net.fit(x, y, epochs=6)
+    return net, scale, threshold
 
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
+_SMALL, _CAPITAL = (np.isin(np.arange(256), [ord(c) for c in x]) for x in (LOWER, UPPER))
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(":"), ord("=")]] = True
 
@@ -202,8 +285,10 @@ def _long_runs(flag: np.ndarray, least: int) -> np.ndarray:
 def _flagged(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which rows may hold a finding or a candidate; the others surely don't."""
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    runs = _long_runs(_TOKEN[data], 16)
-    runs = np.concatenate([runs[digits[runs[:, 1]] > digits[runs[:, 0]]], _long_runs(_HEX[data], 24)])
+    runs = _long_runs(_TOKEN[data], 12)
+    steps = np.concatenate([[0, 0], np.cumsum(_SMALL[data[:-1]] & _CAPITAL[data[1:]])]) if len(data) else np.zeros(1, np.int64)
+    some = (digits[runs[:, 1]] > digits[runs[:, 0]]) | (steps[runs[:, 1]] > steps[runs[:, 0]])
+    runs = np.concatenate([runs[some], _long_runs(_HEX[data], 24)])
     at = np.flatnonzero(_SIGN[data])
     a = np.flatnonzero(data[:-3] == 65) if len(data) > 3 else np.zeros(0, np.int64)
     a = a[(data[a + 1] == 75) & (data[a + 2] == 73) & (data[a + 3] == 65)]
@@ -222,23 +307,27 @@ def _suspects(column: pa.Array) -> Iterator[str]:
             yield data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.995, text_col: str = "text") -> DataFrame:
+def secret_scan(docs: DataFrame, most_samples: int = 2000, recall: float = 0.95, text_col: str = "text") -> DataFrame:
     """The columns of docs plus base and spans: arrays of (kind, start, end), by start, then kind.
 
     base are the matches of the three rules; spans also has kind net: candidates
     that overlap no base match and that the network finds to be secrets. Offsets
-    count code points, ends are exclusive. Null and empty texts have none. Input
-    columns of these names are replaced; repeated rows are scanned each.
-
-    A candidate is any run of at least 16 characters of a secret's alphabet
-    with a letter and a digit; the network sees 40 characters of it with 24 before and 12 after, of a longer one
-    first its head, then every place, and the highest result counts. It is trained on labelled findings: at most ``most_labelled`` candidates of the
-    documents, labelled by the base rules, and made-up findings of other forms.
-    Texts are scanned whole in Arrow batches; a byte-level test passes over rows
-    that cannot hold any. Nothing is shuffled but the bounded sample.
+    count code points, ends are exclusive.
+
+    A candidate is any run of at least 12 characters of a secret's alphabet with a letter and a digit, or with a
+    capital after a small letter. The network sees 40 characters of it with 24 before and 12 after, of a longer one
+    first its head, then every place, and the highest result counts. It is trained on labelled findings: made-up secrets and
+    look-alikes of many kinds, half of them put into contexts of the corpus, and findings of the base rules (at most
+    ``most_samples`` of either from the documents, by least hash). A candidate that no rule knows has no label: it is judged, never
+    learnt from. Scale and threshold come from kinds held out of training (see ``fit``).
+
+    Texts are scanned whole in Arrow batches, very long ones in one slice each; a byte-level test passes over rows
+    that cannot hold any. Null and empty texts have none. Starts that tie are listed base kinds first. Repeated rows are
+    scanned each. An empty table gives no rows. Input columns named base or spans are replaced, others kept, whatever
+    their names. Nothing is shuffled but the distinct samples.
     """
     small_batches(docs)
-    net, scale, threshold = fit(labelled(docs, most_labelled, text_col), recall=recall)
+    net, scale, threshold = fit(*samples(docs, most_samples, text_col), recall=recall)
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     span = "array<struct<kind:string,start:long,end:long>>"
@@ -269,8 +358,8 @@ def secret_scan(docs: DataFrame, most_labelled: int = 4000, recall: float = 0.99
         say = lambda x: [{"kind": KINDS[k], "start": a, "end": e} for a, k, e in sorted(x)]
         return pa.array([{"base": say(b), "spans": say(s)} for b, s in zip(base, spans)], pa.struct([("base", pa.list_(kind)), ("spans", pa.list_(kind))]))
 
-    out = docs.select(*(c for c in docs.columns if c not in ("base", "spans")), scan(F.col(text_col)).alias("__scan"))
-    return out.select("*", F.col("__scan.base").alias("base"), F.col("__scan.spans").alias("spans")).drop("__scan")
+    rows = docs.select(F.struct("*").alias("d"), scan(F.col(f"`{text_col}`")).alias("s"))
+    return unpack(rows, docs.columns, {"base": F.col("s.base"), "spans": F.col("s.spans")})
 
 
 def listed(spans: Column) -> Column:
