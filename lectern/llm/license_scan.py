@@ -107,11 +107,12 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     is taken out, so a notice within a header isn't reported again. ``rules`` has
     licence and rule joined by a colon, in order of preference, once for each match.
 
-    Null and empty texts have none of them. Long texts are scanned whole. Input
-    columns of the added names are replaced. No row moves: the sentences and rules
+    Null and empty texts have none of them. Very long texts are scanned whole. Repeated rows are judged each, alike; an
+    empty table gives no rows. Of sentences that begin at one place the longest counts, of rules the first in order.
+    Input columns of the added names are replaced, others kept whatever their names. No row moves: the sentences and rules
     are constants of the plan, and each row is judged alone.
     """
-    t = F.col(text_col)
+    t = F.col(f"`{text_col}`")
     none = F.array().cast("array<string>")
     ids = F.when(t.rlike(CUE), found_ids(t)).otherwise(none)
     rows = docs.select(F.struct("*").alias("d"), F.coalesce(ids, none).alias("ids"))
