@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, with_row_key
@@ -50,6 +50,22 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def running(df: DataFrame, key: str, order: str, tie: str, value: Column, *lead: str) -> DataFrame:
+    """df with ``before``: the sum of value over the rows of the same key that come earlier by (lead, order, tie).
+
+    order is a 64-bit hash. The sums of its 1,024 ranges are made map-side and put before what is summed
+    within a range, so that no task orders a whole key.
+    """
+    at = [*lead, "piece"]
+    df = df.withColumn("piece", F.shiftright(order, 54)).withColumn("value", value)
+    sums = df.groupBy(key, *at).agg(F.sum("value").alias("total"))
+    earlier = Window.partitionBy(key).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(key, *at, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    inner = Window.partitionBy(key, *at).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    both = df.join(base, [key, *at])
+    return both.withColumn("before", F.col("base") + F.coalesce(F.sum("value").over(inner), F.lit(0))).drop("piece", "value", "base")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -62,7 +78,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row (id_col, source_col, size, source_size, target, taken, passes, part, shards, k1, k2) per row of docs.
+    """One row (id_col, source_col, size, source_size, target, taken, passes, part, shards, orders, k1, k2) per row of docs.
 
     size is the text's number of words (null: 0). Sources in code-point order,
     null last, get the weights in turn; see ``targets``. A source of n rows is
@@ -76,10 +92,12 @@ def mix_sources(
 
     ``split_quotas`` deals every source's number of drawn blocks to the shards;
     a shard takes a run of the source's permuted draws, disjoint from all
-    others. ``shards`` lists the shard of each copy of the row. Everything
+    others. ``shards`` lists the shard of each copy of the row, ``orders`` the key that each copy is sorted by in its
+    shard: that is the local shuffle, which ``shard_rows`` carries out. Everything
     follows from the seed, ids and texts, so reruns agree; repeated rows are
-    rows of their own. An empty table gives no rows; sources whose texts have no
-    words take none. The driver holds a row for each source, no more.
+    rows of their own; draws and rows that tie in hash go by block or key. An empty table gives no rows; sources whose
+    texts have no words take none. Null and empty texts have size 0 and give nothing; very long ones are counted whole. Other
+    columns are not read, so their names cannot clash. The driver holds a row for each source, no more.
     """
     spark = docs.sparkSession
     keyed = with_row_key(docs, id_col, text_col)
@@ -98,9 +116,8 @@ def mix_sources(
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.col("blocks")).cast("int"))
 
     blocks = placed.groupBy("si", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    order = F.xxhash64(F.lit(seed), "si", "block", "passes")
-    run = Window.partitionBy("si").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    blocks = materialize(blocks.withColumn("order", F.xxhash64(F.lit(seed), "si", "block", "passes")), "block-sizes")
+    blocks = running(blocks, "si", "order", "block", F.col("words"))
     blocks = blocks.withColumn("left", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("before"))))
     blocks = materialize(blocks.select("si", "block", "words", "passes", "left"), "blocks")
 
@@ -110,8 +127,8 @@ def mix_sources(
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
     bounds = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(plan))], "si int, ends array<long>")
     draws = blocks.where(drawn > 0).select("si", "block", F.explode(F.sequence(F.lit(0), drawn - 1)).alias("pass"))
-    turn = Window.partitionBy("si").orderBy("pass", F.xxhash64(F.lit(seed), "si", "block", "pass"), "block")
-    draws = draws.withColumn("at", F.row_number().over(turn) - 1).join(F.broadcast(bounds), "si")
+    draws = draws.withColumn("order", F.xxhash64(F.lit(seed), "si", "block", "pass"))
+    draws = running(draws, "si", "order", "block", F.lit(1), "pass").withColumnRenamed("before", "at").join(F.broadcast(bounds), "si")
     draws = draws.select("si", "block", "pass", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
     homes = draws.groupBy("si", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("homes"))
     homes = materialize(blocks.join(homes, ["si", "block"], "left").select("si", "block", "words", "left", "homes"), "homes")
@@ -124,21 +141,21 @@ def mix_sources(
     whole = rows.where(~cut).withColumn("part", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
     rows = whole.unionByName(partly)
     copies = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
+    home = F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), copies)
     return rows.select(
         F.col("id").alias(id_col), F.col("src").alias(source_col), "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "passes", "part",
-        F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"), "k1", "k2",
+        home.alias("shards"), F.transform(home, lambda s, i: F.xxhash64(F.lit(seed), s, i, "k1", "k2")).alias("orders"), "k1", "k2",
     )
 
 
-def shard_rows(mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """A row (shard, words, ...) for each copy that the mix takes, dealt by shard and shuffled within it.
+def shard_rows(mixed: DataFrame) -> DataFrame:
+    """A row (shard, order, copy, words, ...) for each copy that the mix takes, dealt by shard and shuffled within it.
 
     words is how many leading words of the text the copy has. Rows that give no
-    words are left out.
+    words are left out. A shard lies in eight partitions at most, by its keys' order.
     """
     each = mixed.where("taken > 0").select("*", F.posexplode("shards").alias("copy", "shard"))
     words = F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("part"))
-    each = each.withColumn("words", words).where("words > 0").drop("shards")
-    order = F.xxhash64(F.lit(seed), "shard", "copy", "k1", "k2")
-    return each.repartition("shard", F.pmod(order, F.lit(8))).sortWithinPartitions("shard", order)
+    each = each.withColumn("words", words).withColumn("order", F.get("orders", F.col("copy"))).where("words > 0").drop("shards", "orders")
+    return each.repartition("shard", F.shiftright("order", 61)).sortWithinPartitions("shard", "order", "k1", "k2")
