@@ -11,7 +11,7 @@ from lectern.llm.common import two_hashes, with_row_key, without
 from lectern.sources.tables import materialize
 
 #: A chunk ends after a sentence's end that has min to max characters before it, or else after max characters: cuts follow the content, not the offset.
-CHUNK = r"(?s).{{{low},{high}}}?[.!?\n]\s|.{{1,{high}}}"
+CHUNK = r"(?s).{{{low},{high}}}?(?:[.!?\n]\s|[\u3002\uFF01\uFF1F\uFF61\u0964])|.{{1,{high}}}"
 
 
 def chunks(text: Column, low: int = 512, high: int = 4096) -> Column:
@@ -32,7 +32,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that agree in id and text are repeats of one document: exactly one of
     the repeats of the id that stays is marked kept. Null ids lose against any
     other; a group of null ids keeps one row. k1 and k2 are the key of
-    ``with_row_key``; repeats counts its rows. An empty table gives no rows.
+    ``with_row_key``; repeats counts its rows. An empty table gives no rows. Very long texts become
+    long recipes, and are never cut. Other columns are not read, so their names cannot clash.
     """
     rows = with_row_key(docs, id_col, text_col).select(F.col(f"d.`{id_col}`").alias("id"), "k1", "k2", "t")
     names = ("h1", "h2")

@@ -23,7 +23,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     Each row counts as a document, repeated rows too; a key repeated within one
     row counts once. A null id is an id like any other. Input columns named
-    n_lines or n_dropped are replaced. An empty table gives an empty table.
+    n_lines or n_dropped are replaced, others kept whatever their names. Ties cannot arise: counts are compared with
+    a bound, and lines stand by position. Very long texts and lines are read whole. An empty table gives an empty table.
 
     Lines are hashed to 128 bits, counted with map-side sums, and only hashes and
     positions move; the text itself moves once, to meet its dropped positions,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import small_batches
+from lectern.llm.common import small_batches, unpack
 
 BITS = 20
 #: What a text's mean n-gram weight is multiplied with before the logistic function.
@@ -142,8 +142,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     A score is the logistic function of a sparse dot product: the mean weight of
     the text's word 1- and 2-grams, hashed to 2**20 weights, and a bias. Whole
     texts are scored in Arrow batches; the 4 MB of weights are all that is
-    broadcast. Null and empty texts score as the bias alone; a null id is not
-    held out. Only texts and labels are learnt from.
+    broadcast. Null and empty texts score as the bias alone; very long texts are scored whole; equal texts, and so
+    repeated rows, score alike, and a score that equals the threshold is predicted 1. A null id is not held out and has no
+    label. An empty table gives no rows, and learning from it weights of 0. Only texts and labels are learnt from, of equal
+    id hashes the least id and text first. Columns that aren't replaced are kept whatever their names.
     """
     small_batches(docs)
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows, folds, id_col, text_col))
@@ -152,6 +154,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     def scored(t: pa.Array) -> pa.Array:
         return pa.array(score(t, weights.value))
 
-    out = docs.withColumns({"held_out": fold_of(F.col(id_col), folds), "score": scored(F.col(text_col))})
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    rows = docs.select(F.struct("*").alias("d"), scored(F.col(f"`{text_col}`")).alias("s"))
+    predicted = F.when(F.col("s") >= threshold, 1).otherwise(0)
+    return unpack(rows, docs.columns, {"held_out": fold_of(F.col(f"d.`{id_col}`"), folds), "score": F.col("s"), "predicted": predicted})
 
