@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
-from lectern.llm.license_scan import license_scan
+from lectern.llm.license_scan import RULES, SENTENCES, license_scan
 from lectern.llm.line_dedup import line_dedup
 from lectern.llm.lm_score import lm_score
 from lectern.llm.mixing import mix_sources
@@ -21,23 +21,24 @@ from lectern.sources.tables import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is a document, here as in the SQL, also where an id comes twice."""
     out = line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP1_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+  SELECT rid, doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), frequent AS (
-  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
+FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY rid, doc_id
 """
 
 
@@ -46,6 +47,36 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"), F.array_join("rules", ",").alias("rules"))
 
 
+def _op5_sql() -> str:
+    """The sentences and rules as lists, and one step for each rule. Where the patterns of the operator look around, marks are put in
+    first, and pieces are joined by two bars, one for each neighbour."""
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    known = "|".join(x.replace(" ", r"(?: \| \|)? ") for x in sorted(SENTENCES.values(), key=len, reverse=True))
+    steps, last = [], "seqs"
+    for i, (_, _, seq) in enumerate(RULES):
+        want = f"' {'  '.join(seq)} '"
+        steps.append(f"r{i} AS (SELECT doc_id, ids, hits || list_transform(range(0, (length(l) - length(replace(l, {want}, ''))) // length({want})), lambda _: {i + 1}) AS hits, replace(l, {want}, ' | ') AS l FROM {last})")
+        last = f"r{i}"
+    return rf"""
+WITH marked AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t-\r]+', '\1' || chr(1), 'g'),
+    '\n[ \t-\r]*\n', chr(1), 'g'), '\n([ \t-\r]*[A-Z])', chr(1) || '\1', 'g'), '[ \t-\r]+(https?://)', chr(1) || '\1', 'g') AS t FROM documents
+), pieces AS (
+  SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '') AS p FROM marked
+), found AS (
+  SELECT doc_id, regexp_extract_all('| ' || array_to_string(p, ' | | ') || ' |', '\| ({known}) \|', 1) AS f FROM pieces
+), named AS (
+  SELECT doc_id, list_transform(f, lambda x: {quoted(SENTENCES)}[list_position({quoted(SENTENCES.values())}, replace(x, ' | |', ''))]) AS ids FROM found
+), seqs AS (
+  SELECT doc_id, ids, CAST([] AS BIGINT[]) AS hits, ' ' || array_to_string(ids, '  ') || ' ' AS l FROM named
+), {", ".join(steps)}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences,
+       array_to_string(list_sort(list_distinct(list_transform(hits, lambda i: {quoted(r[0] for r in RULES)}[i]))), ',') AS licenses,
+       array_to_string(list_transform(hits, lambda i: {quoted(f"{r[0]}:{r[1]}" for r in RULES)}[i]), ',') AS rules
+FROM {last}
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -105,7 +136,7 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mix_sources(docs, weights=(5, 2, 1), share=1.5, stop=2.0)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "shards", "orders")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_license_scan": _op5_sql(), "op6_exact_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
