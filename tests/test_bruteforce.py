@@ -59,10 +59,10 @@ def same_numbers(a, b):
 
 
 class Said:
-    def __init__(self, segments):
-        self.toks, self.t = [], []
+    def __init__(self, segments, tok=tokens):
+        self.toks, self.t, self.tok = [], [], tok
         for start, _, text in segments:
-            for w in tokens(text):
+            for w in tok(text):
                 self.toks.append(w)
                 self.t.append(start)
 
@@ -81,10 +81,10 @@ class Said:
         return best
 
 
-def on_slides(q, deck):
+def on_slides(q, deck, tok=tokens):
     text = " ".join(q)
     for _, _, at, _, shown in deck:
-        there = tokens(shown or "")
+        there = tok(shown or "")
         for i in range(len(there) - len(q) + 1):
             run = there[i : i + len(q)]
             if run == q:
@@ -97,7 +97,8 @@ def on_slides(q, deck):
 
 
 def grounded(quote, said, deck):
-    parts = [tokens(p) for p in re.split(r"\s*(?:\.\.\.|…)\s*", quote) if tokens(p)]
+    tok = said.tok
+    parts = [tok(p) for p in re.split(r"\s*(?:\.\.\.|…)\s*", quote) if tok(p)]
     if len(parts) > 1:
         at, first = 0, None
         for p in parts:
@@ -107,7 +108,7 @@ def grounded(quote, said, deck):
             first, at = hits[0] if first is None else first, hits[0] + len(p)
         else:
             return said.t[first], True, "speech"
-    q = tokens(quote)
+    q = tok(quote)
     if not q:
         return None, False, None
     hits = said.places(q)
@@ -115,27 +116,25 @@ def grounded(quote, said, deck):
         return said.t[hits[0]], True, "speech"
     if len(q) >= 4 and (near := said.nearest(q, 0.9)):
         return said.t[near[1]], True, "speech"
-    seen = on_slides(q, deck)
+    seen = on_slides(q, deck, tok)
     return (seen, True, "slide") if seen is not None else (None, False, None)
 
 
-def test_normal_tokens_are_plain_ones_here(spark):
-    """What the checks below take for tokens is what the tokenizers give on these tables."""
-    for r in rows_of(spark, "conversations"):
-        assert tokens(r.text) == normal(r.text).split()
+def exact(text):
+    return normal(text).split()
 
 
 def test_fuzzy_and_cascade(spark, talks, decks):
     quotes = [(r.quote_id, r.talk_id, r.kind, r.quote) for r in catalog._talk_quotes(spark, SF).collect()]
     assert len({q for q, *_ in quotes}) == len(quotes) > 1000
-    said = {k: Said(v) for k, v in talks.items()}
+    said, folded = ({k: Said(v, tok) for k, v in talks.items()} for tok in (tokens, exact))
     near = {r.quote_id: (r.pos, r.ratio) for r in catalog.q22_fuzzy_anchor(spark, SF).collect()}
     found = {r.quote_id: (r.t, r.grounded, r.source) for r in catalog.q24_cascade(spark, SF).collect()}
     assert set(found) == {q for q, *_ in quotes}
     for quote_id, talk, kind, quote in quotes[::3]:
         best = said[talk].nearest(tokens(quote), 0.9)
         assert near.get(quote_id) == (None if best is None else (best[1], pytest.approx(best[0]))), quote
-        assert found[quote_id] == grounded(quote, said[talk], decks[talk]), (kind, quote)
+        assert found[quote_id] == grounded(quote, folded[talk], decks[talk]), (kind, quote)
 
 
 def test_slide_anchor(spark, decks):
