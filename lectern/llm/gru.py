@@ -6,7 +6,8 @@ import numpy as np
 
 #: Backpropagation goes back this many tokens; the state goes on from window to window.
 WINDOW = 16
-LANES = 64
+#: Texts side by side in training: few for many small steps, many for a cheap pass.
+LANES, WIDE = 64, 1024
 
 Params = dict[str, np.ndarray]
 
@@ -44,66 +45,81 @@ def _step(p: Params, word: np.ndarray, h: np.ndarray):
     return c + z * (h - c), z, r, c, g[:, 2 * n :]
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
+def _moderate(p: Params) -> bool:
+    """Can no output before the softmax be so large that its exponential overflows? States lie between -1 and 1."""
+    return max(float((np.abs(p["wc"]).sum(0) + p["bc"]).max()), float((np.abs(p["wo"]).sum(1) + p["bo"]).max())) < 60
 
 
-def _log_p(p: Params, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+def _by(values: np.ndarray) -> np.ndarray:
+    """A stable order; small numbers are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if len(values) and values.max() < 1 << 16 else values, kind="stable")
+
+
+def _log_p(p: Params, h: np.ndarray, word: np.ndarray, moderate: bool) -> np.ndarray:
     """log p(word) after states h: of its class, times of the word in its class."""
-    per = p["bo"].shape[1]
+    classes, per = p["bo"].shape
     k = word // per
-    rows = np.arange(len(word))
-    out = _log_softmax(h @ p["wc"] + p["bc"])[rows, k]
-    order = np.argsort(k, kind="stable")
-    cut = np.searchsorted(k[order], np.arange(p["bo"].shape[0] + 1))
+    rows, ones = np.arange(len(word)), np.ones(max(classes, per), h.dtype)
+
+    def picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not moderate:
+            a -= a.max(1, keepdims=True)
+        own = a[rows[: len(a)], at]
+        return own - np.log(np.exp(a, out=a) @ ones[: a.shape[1]])
+
+    a = h @ p["wc"]
+    a += p["bc"]
+    out = picked(a, k)
+    order = _by(k)
+    cut = np.searchsorted(k[order], np.arange(classes + 1)).tolist()
     h, place, lp = h[order], (word - k * per)[order], np.empty(len(word), h.dtype)
     for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
         if hi > lo:
             a = h[lo:hi] @ p["wo"][c]
             a += p["bo"][c]
-            a -= a.max(1, keepdims=True)
-            lp[lo:hi] = a[rows[: hi - lo], place[lo:hi]]
-            lp[lo:hi] -= np.log(np.exp(a, out=a).sum(1))
+            lp[lo:hi] = picked(a, place[lo:hi])
     out[order] += lp
     return out
 
 
-def score(p: Params, texts: list[np.ndarray], block: int = 64) -> np.ndarray:
+def score(p: Params, texts: list[np.ndarray], block: int = 64, side: int = 512) -> np.ndarray:
     """Natural-log probability of each whole text (word ids with the end token last).
 
-    Texts run side by side, longest first; each carries its state from its first
+    Texts run ``side`` by side, longest first; each carries its state from its first
     token to its last, and drops out when it ends. Predictions are made from
     the kept states, ``block`` steps at a time.
     """
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    lengths = np.asarray([len(texts[i]) for i in order])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(order) else np.zeros(0, np.int64)
-    stream = np.concatenate([texts[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    vocabulary, hidden = p["x"].shape[0] - 1, p["u"].shape[0]
-    h = np.zeros((len(order), hidden), np.float32)
-    word = np.full(len(order), vocabulary)
-    total = np.zeros(len(order))
-    active, t = len(order), 0
-    states, targets, lanes = [], [], []
-    while active:
-        h = _step(p, word[:active], h[:active])[0]
-        word = stream[first[:active] + t]
-        states.append(h)
-        targets.append(word)
-        lanes.append(active)
-        t += 1
-        active = int(np.searchsorted(-lengths, -t, "left"))
-        if len(states) == block or not active:
-            lp = _log_p(p, np.concatenate(states), np.concatenate(targets))
-            who = np.concatenate([np.arange(n) for n in lanes])
-            total[: lanes[0]] += np.bincount(who, lp, lanes[0])
-            states, targets, lanes = [], [], []
-    out = np.zeros(len(texts))
-    out[order] = total
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    out, moderate = np.zeros(len(texts)), _moderate(p)
+    for lo in range(0, len(order), side):
+        some = order[lo : lo + side]
+        out[some] = _score_side_by_side(p, [texts[i] for i in some], block, moderate)
     return out
 
 
+def _score_side_by_side(p: Params, texts: list[np.ndarray], block: int, moderate: bool) -> np.ndarray:
+    """Texts in falling order of length."""
+    lengths = np.asarray([len(t) for t in texts])
+    vocabulary, n = p["x"].shape[0] - 1, p["u"].shape[0]
+    left = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right").tolist()  # texts that have a token at each step
+    h, word, total = np.zeros((len(texts), n), np.float32), np.full(len(texts), vocabulary), np.zeros(len(texts))
+    for at in range(0, lengths[0], block):
+        lanes = left[at : at + block]
+        y = np.full((len(lanes), lanes[0]), -1, np.int64)
+        for i in range(lanes[0]):
+            part = texts[i][at : at + block]
+            y[: len(part), i] = part
+        states = np.empty((len(lanes), lanes[0], n), np.float32)
+        for t, active in enumerate(lanes):
+            h = _step(p, word[:active], h[:active])[0]
+            states[t, :active] = h
+            word = y[t]
+        there = y >= 0
+        who = np.nonzero(there)[1]
+        total[: lanes[0]] += np.bincount(who, _log_p(p, states[there], y[there], moderate), lanes[0])
+    return total
+
+
 class Adam:
     def __init__(self, p: Params, rate: float):
         self.p, self.rate, self.t = p, rate, 0
@@ -144,12 +160,15 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndar
     scale = np.float32(1 / len(y))
     g = {key: np.zeros_like(v) for key, v in p.items()}
 
+    moderate, ones = _moderate(p), np.ones(max(p["bo"].shape), p["u"].dtype)
+
     def softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
         """The scaled gradient with respect to a, in its place, and the loss."""
-        a -= a.max(1, keepdims=True)
+        if not moderate:
+            a -= a.max(1, keepdims=True)
         own = a[rows, at].sum()
-        total = np.exp(a, out=a).sum(1, keepdims=True)
-        a *= scale / total
+        total = np.exp(a, out=a) @ ones[: a.shape[1]]
+        a *= (scale / total)[:, None]
         a[rows, at] -= scale
         return a, np.log(total).sum() - own
 
@@ -157,7 +176,7 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndar
     g["wc"], g["bc"] = H.T @ d, d.sum(0)
     dH = d @ p["wc"].T
     # The words in their classes: tokens lie by class, one product a class, all else over all of them.
-    order = np.argsort(k, kind="stable")
+    order = _by(k)
     by, Hs = k[order], H[order]
     cut = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
     parts = list(zip(by[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(by)]))
@@ -186,15 +205,18 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndar
     g["u"] = h_in.reshape(-1, n).T @ du.reshape(-1, 3 * n)
     du[:, :, 2 * n :] = dH * dc
     word = inputs.reshape(-1)
-    order = np.argsort(word, kind="stable")
+    order = _by(word)
     word = word[order]
     cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     g["x"][word[cut]] = np.add.reduceat(du.reshape(-1, 3 * n)[order], cut, axis=0)
     return g, h, float(loss / len(y))
 
 
-def train(p: Params, texts: list[np.ndarray], updates: int, rate: float, seed: int = 0) -> Params:
-    """Goes through the texts, shuffled, for at least ``updates`` windows and at least once; texts lie end to end in LANES lanes."""
+def train(p: Params, texts: list[np.ndarray], updates: int, rate: float, seed: int = 0, lanes: int = LANES) -> Params:
+    """Goes through the texts, shuffled, for at least ``updates`` windows and at least once; texts lie end to end in so many lanes.
+
+    The lanes are of equal length; where the last one ends early, it goes on with the first texts again, so every token is learnt.
+    """
     p = {k: x.copy() for k, x in p.items()}
     texts = [t for t in texts if len(t)]
     if not texts:
@@ -206,10 +228,10 @@ def train(p: Params, texts: list[np.ndarray], updates: int, rate: float, seed: i
         y = np.concatenate(line)
         x = np.concatenate([np.append(vocabulary, t[:-1]) for t in line])
         fresh = x == vocabulary
-        lanes = min(LANES, max(1, len(y) // WINDOW))
-        long = len(y) // lanes
-        x, y, fresh = (a[: long * lanes].reshape(lanes, long).T for a in (x, y, fresh))
-        h = np.zeros((lanes, p["u"].shape[0]), np.float32)
+        side = min(lanes, max(1, len(y) // WINDOW))
+        long = -(-len(y) // side)
+        x, y, fresh = (np.resize(a, long * side).reshape(side, long).T for a in (x, y, fresh))
+        h = np.zeros((side, p["u"].shape[0]), np.float32)
         for t in range(0, long, WINDOW):
             g, h, _ = gradients(p, x[t : t + WINDOW], y[t : t + WINDOW], fresh[t : t + WINDOW], h)
             norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))

@@ -111,25 +111,22 @@ def token_counts(rows: DataFrame, common: np.ndarray) -> DataFrame:
     )
 
 
-def fit(train: DataFrame, words: np.ndarray, counts: np.ndarray, hidden: int, classes: int, share: int, group_docs: int, updates: int, rate: float) -> gru.Params:
-    """Trains on every training text (of a ``share`` beyond 1, on one of so many, but at least group_docs), in groups of about group_docs.
+def fit(train: DataFrame, words: np.ndarray, counts: np.ndarray, hidden: int, classes: int, group_docs: int, updates: int, rate: float) -> gru.Params:
+    """Trains on every training text, in groups of about group_docs texts that their keys' hashes make.
 
-    First one group alone finds a model; then every group goes on from it by
+    First one group alone finds a model; then every group, that one too, goes on from it by
     itself and the mean of their models, weighted by group size, is the result.
     So the work grows with the corpus, side by side, and no task holds more than
-    a group. The texts are chosen by the hash of their key.
+    a group.
     """
     spark = train.sparkSession
-    n = train.count()
-    part = max(1 / share, group_docs / max(1, n))
-    chosen = train.where(F.pmod(F.xxhash64("k2", "k1"), F.lit(1 << 20)) < min(1 << 20, round(part * (1 << 20))))
-    groups = max(1, round(part * n / group_docs))
+    groups = max(1, round(train.count() / group_docs))
     table = np.sort(words)
     rank = np.argsort(words)
     vocabulary = len(words) + 1
     shared = spark.sparkContext.broadcast((table, rank))
 
-    def run(only: int | None, start: bytes, rate: float, updates: int) -> list[tuple[int, bytes]]:
+    def run(only: int | None, start: bytes, rate: float, updates: int, lanes: int) -> DataFrame:
         sent = spark.sparkContext.broadcast(start)
 
         def learn(key, got):
@@ -138,34 +135,52 @@ def fit(train: DataFrame, words: np.ndarray, counts: np.ndarray, hidden: int, cl
             for _, _, data, off in wv.slices(got.column("t")):
                 ids, first = word_ids(data, off, *shared.value)
                 texts += [ids[a:b] for a, b in zip(first[:-1], first[1:])]
-            p = gru.train(gru.unpack(sent.value, vocabulary, hidden, classes), texts, updates, rate)
+            p = gru.train(gru.unpack(sent.value, vocabulary, hidden, classes), texts, updates, rate, lanes=lanes)
             return pa.table({"n": pa.array([len(texts)], pa.int64()), "p": pa.array([gru.pack(p)], pa.binary())})
 
-        dealt = chosen.withColumn("g", F.pmod(F.xxhash64("k1", "k2"), F.lit(groups)).cast("int"))
+        dealt = train.withColumn("g", F.pmod(F.xxhash64("k1", "k2"), F.lit(groups)).cast("int"))
         if only is not None:
             dealt = dealt.where(F.col("g") == only)
         return dealt.select("g", "k1", "k2", "t").groupBy("g").applyInArrow(learn, "n long, p binary")
 
     first = gru.start(counts, hidden, classes)
-    got = run(0, gru.pack(first), rate, updates).collect()
+    got = run(0, gru.pack(first), rate, updates, gru.LANES).collect()
     p = gru.unpack(got[0].p, vocabulary, hidden, classes) if got else first
     if groups > 1:
-        p = _mean(run(None, gru.pack(p), rate / 3, 1), vocabulary, hidden, classes)
+        p = gru.unpack(_mean(run(None, gru.pack(p), rate / 3, 1, gru.WIDE)), vocabulary, hidden, classes)
     return p
 
 
-def _mean(models: DataFrame, vocabulary: int, hidden: int, classes: int) -> gru.Params:
-    """The mean model, summed in the cluster piece by piece; the driver gets one model."""
+#: Numbers of a model that a row holds while models are summed.
+PIECE = 1 << 16
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _mean(models: DataFrame) -> bytes:
+    """The mean model. A task sums its own models in one array and sends that in pieces; these are summed in the cluster, and the
+    driver gets one model."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = None, 0
+        for b in batches:
+            for n, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                v = np.frombuffer(raw.as_buffer(), np.float32) * np.float64(n)
+                total, held = v if total is None else total + v, held + n
+        if held:
+            cut = [(total[i : i + PIECE] / held).astype(np.float32) for i in range(0, len(total), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([held] * len(cut), pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["piece", "n", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list] = {}
         for b in batches:
-            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v), pa.array(np.full(len(v), n))], ["i", "v", "n"])
+            for piece, n, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
+                got = totals.setdefault(piece, [0, 0])
+                got[0], got[1] = got[0] + np.frombuffer(raw, np.float32) * np.float64(n), got[1] + n
+        means = [(v / n).astype(np.float32).tobytes() for v, n in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(list(n for _, n in totals.values()), pa.int64()), pa.array(means, pa.binary())], ["piece", "n", "v"])
 
-    summed = models.mapInArrow(pieces, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-    got = summed.orderBy("i").toPandas()
-    return gru.unpack(got.v.to_numpy(np.float32).tobytes(), vocabulary, hidden, classes)
+    kind = "piece int, n long, v binary"
+    got = models.mapInArrow(own, kind).repartition("piece").mapInArrow(add, kind).collect()
+    return b"".join(bytes(r.v) for r in sorted(got, key=lambda r: r.piece))
 
 
 def word_ids(data: np.ndarray, off: np.ndarray, table: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +191,8 @@ def word_ids(data: np.ndarray, off: np.ndarray, table: np.ndarray, rank: np.ndar
 
 
 def lm_score(
-    docs: DataFrame, folds: int = 10, vocabulary: int = 1023, common: int = 1 << 17, hidden: int = 16, classes: int = 32,
-    share: int = 1, group_docs: int = 2048, updates: int = 1200, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, folds: int = 10, vocabulary: int = 4095, common: int = 1 << 17, hidden: int = 20, classes: int = 64,
+    group_docs: int = 4096, updates: int = 1200, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
@@ -192,12 +207,14 @@ def lm_score(
     class. Tokens beyond the ``vocabulary`` most common words are one word to the
     network, times their own smoothed share among such tokens, by the same
     counts. Texts are scored from their first token to their last with the
-    state carried on. The network is trained in groups (see ``fit``).
+    state carried on. The network is trained on every training text, in groups (see ``fit``).
 
     Tokens are known by 64-bit hashes. The ``common`` most frequent are counted
     in arrays of fixed size in each task; the rest move once, by hash, one row
-    for each token and text, and give sums for each text; so no group of equal
-    tokens is large. Repeated rows count each. An empty table gives no rows.
+    for each token and text, and give sums for each text; so a group of equal tokens is at most as large as
+    the count of the first word that is not common. Tokens of equal count are put in order by hash. Very long
+    texts are read and scored whole. Repeated rows count each and get equal scores. An empty table gives no rows. Other
+    columns are not read, so their names cannot clash.
     """
     small_batches(docs)
     spark = docs.sparkSession
@@ -216,7 +233,7 @@ def lm_score(
     order = np.lexsort((table, -c))[: min(vocabulary, int((c > 0).sum()))]
     words, word_counts = table[order], c[order]
     n_other, v_other = n_train - int(word_counts.sum()), distinct - len(words)
-    params = fit(train, words, np.append(word_counts, n_other), hidden, classes, share, group_docs, updates, rate)
+    params = fit(train, words, np.append(word_counts, n_other), hidden, classes, group_docs, updates, rate)
     rank = np.full(len(table), len(words))
     rank[order] = np.arange(len(words))
     logs = np.log10(c + 0.1)
