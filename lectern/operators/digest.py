@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -92,23 +93,45 @@ def synthesizer(name: str):
     return put
 
 
-def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3) -> DataFrame:
-    """Calls a registered synthesizer for each row; what raises is tried again, and then gives a row with its error."""
+class AccessError(Exception):
+    """The model refuses this caller: trying again cannot help."""
+
+
+class AnswerError(ValueError):
+    """An answer that breaks the schema: the next attempt is told why."""
+
+
+def synthesize(requests: DataFrame, name: str, schema: str, attempts: int = 3, required: tuple[str, ...] = (), wait_s: float = 0.0) -> DataFrame:
+    """Calls a registered synthesizer for each row; what raises is tried again, and then gives a row with its error.
+
+    An AccessError ends a row at once. After an AnswerError, or an answer without one of the ``required`` fields, the request
+    of the next attempt has the reason in ``problem``; after other errors there is a pause of wait_s times the number
+    of attempts so far.
+    """
     if name not in SYNTHESIZERS:
         raise ValueError(f"no synthesizer {name!r}; there are {sorted(SYNTHESIZERS)}")
     f, arrow = SYNTHESIZERS[name], to_arrow_schema(T.StructType.fromDDL(schema))
 
+    def asked(request: dict) -> dict:
+        problem = None
+        for k in range(1, attempts + 1):
+            try:
+                answer = f(request if problem is None else {**request, "problem": problem})
+                missing = [x for x in required if answer.get(x) is None]
+                if missing:
+                    raise AnswerError(f"missing: {', '.join(missing)}")
+                return {**answer, "error": None}
+            except Exception as e:  # a row's failure must not fail the job; it is reported in its row
+                if k == attempts or isinstance(e, AccessError):
+                    return {"talk_id": request.get("talk_id"), "window_id": request.get("window_id"), "error": str(e)[-500:]}
+                if isinstance(e, AnswerError):
+                    problem = str(e)
+                elif wait_s:
+                    time.sleep(wait_s * k)
+        raise AssertionError("no attempt")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                for k in range(attempts):
-                    try:
-                        out.append({**f(r), "error": None})
-                        break
-                    except Exception as e:  # a row's failure must not fail the job; it is reported in its row
-                        if k + 1 == attempts:
-                            out.append({"talk_id": r.get("talk_id"), "window_id": r.get("window_id"), "error": str(e)[-500:]})
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            yield pa.RecordBatch.from_pylist([asked(r) for r in batch.to_pylist()], arrow)
 
     return requests.mapInArrow(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def made() -> Iterator[list[str]]:
+    """The paths of the tables that are materialized inside, in the order in which they were written."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``made`` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: its lineage ends there.
 
@@ -37,6 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as sc
 from lectern.functions.text import exact_tokens, fast_tokens, normal, slug_exact
-from lectern.operators import anchor, cues, digest, frames, intervals, lineage, recall, slides, windows
+from lectern.operators import anchor, brief, cues, digest, frames, intervals, lineage, recall, slides, windows
 from lectern.sources import captions
 
 
@@ -273,6 +273,30 @@ def test_synthesizer_registry(spark):
         digest.synthesize(rows, "missing", "talk_id long")
 
 
+def test_synthesizer_tries_again_by_kind_of_error(spark):
+    @digest.synthesizer("fussy")
+    def fussy(r):
+        if r["window_id"] == "w01":
+            raise digest.AccessError("no access")
+        if r["window_id"] == "w02" and "problem" not in r:
+            raise digest.AnswerError("no quote")
+        answer = r.get("problem", "fine") if r["window_id"] != "w03" else None
+        return {"talk_id": 1, "window_id": r["window_id"], "answer": answer}
+
+    rows = spark.createDataFrame([(1, f"w{i:02d}") for i in (1, 2, 3, 4)], "talk_id long, window_id string")
+    got = digest.synthesize(rows, "fussy", "talk_id long, window_id string, answer string, error string", required=("answer",)).collect()
+    assert {r.window_id: (r.answer, r.error) for r in got} == {"w01": (None, "no access"), "w02": ("no quote", None), "w03": (None, "missing: answer"), "w04": ("fine", None)}
+
+
+def test_documents_keep_their_nulls(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "x")], "talk_id long, quote string, label string")
+    brief.write_documents(df, str(tmp_path / "out"))
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part-*.json")).strip()
+    assert text == '{"talk_id":1,"quote":null,"label":"x"}'
+    brief.write_documents(df, str(tmp_path / "out"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "out")).collect() == df.collect()
+
+
 def test_bucketed_join_equals_nested_loop(spark):
     r = np.random.RandomState(4)
     make = lambda p: spark.createDataFrame([(int(a), int(a + d)) for a, d in zip(r.randint(0, 3000, 200), r.randint(1, 400, 200))], f"{p}_start long, {p}_end long")
