@@ -1,7 +1,11 @@
-"""Column builders that the operators share. All are built-in expressions."""
+"""What the operators share: column builders, all of them built-in expressions, and a filter for the operators in Python."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ def small_batches(df: DataFrame, size: int = 8 << 20) -> None:
 
 
 #: Rows of at most some longs each that may be broadcast; more of them are joined by shuffle.
-FEW = 400_000
+FEW = 1_000_000
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -75,3 +79,34 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
 def unpack(df: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
     """The input's columns out of d, then the added ones; an added name replaces an input column of that name."""
     return df.select(*(F.col(f"d.`{c}`").alias(c) for c in columns if c not in added), *(v.alias(k) for k, v in added.items()))
+
+
+#: Bits of the largest filter of hashes: 32 MB.
+MOST_FILTER_BITS = 28
+
+
+def token_filter(tokens: DataFrame) -> np.ndarray:
+    """A set of 64-bit hashes (column token; written) as bits by their leading bits, at most 2**MOST_FILTER_BITS of them, sixteen for each token
+    below that. The cluster makes it piece by piece; the driver gets the bits."""
+    width = int(min(MOST_FILTER_BITS, max(16, np.ceil(np.log2(16 * max(1, tokens.count()))))))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - width)
+            piece = at >> np.uint64(16)
+            for p in np.unique(piece):
+                pieces.setdefault(int(p), np.zeros(1 << 16, bool))[(at[piece == p] & np.uint64(0xFFFF)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(x).tobytes() for x in pieces.values()], pa.binary())], ["piece", "bits"])
+
+    lead = F.shiftrightunsigned("token", 64 - width + 16) if width > 16 else F.lit(0)
+    out = np.zeros((1 << (width - 16), 1 << 13), np.uint8)
+    for r in tokens.select("token").repartition(lead).mapInArrow(make, "piece long, bits binary").collect():
+        out[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) may be in the set of a ``token_filter``."""
+    at = h >> np.uint64(64 - ((len(bits) * 8).bit_length() - 1))
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1

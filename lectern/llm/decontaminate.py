@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import small_batches, unpack, with_row_key
+from lectern.llm.common import passes, small_batches, token_filter, two_hashes, unpack, with_row_key
 from lectern.sources.tables import materialize
 
-FOUND = "struct<n_words:long,n_hit:long,items:array<string>,starts:array<long>,ends:array<long>>"
+FOUND = "struct<n_words:long,n_hit:long,items:array<string>>"
 
 
 def winnow(h: np.ndarray, at: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
@@ -113,17 +113,74 @@ def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
 
 
-def _blocks(benchmark: DataFrame, block_chars: int, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The items in runs of at most block_chars characters, or one item; the driver holds one run at a time."""
-    held, size = [], 0
-    each = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    for r in each.toLocalIterator():
-        if held and size + len(r.t) > block_chars:
-            yield held
-            held, size = [], 0
-        held.append((r.id, r.t))
-        size += len(r.t)
-    yield held
+def _candidates(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k1, k2, b1, b2) of documents and items that share a fingerprint, or a run as long as a shorter item. Written.
+
+    Both sides' fingerprints meet by hash, in the cluster. A filter of bounded size over the items' ones passes
+    over most of the documents' before these move.
+    """
+    width = window - gram + 1
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, data, off in wv.slices(b.column(0)):
+                w = wv.words(data, off, wv.ALNUM)
+                h, at = wv.windows(w, gram)
+                row = np.searchsorted(w.first, at, "right") - 1
+                some = winnow(h, at, row, width)
+                sizes = np.diff(w.first)
+                short = np.flatnonzero((sizes > 0) & (sizes < window))
+                hs = np.concatenate([h[some], np.asarray([wv.run_hash(w.hash[w.first[i] : w.first[i + 1]]) for i in short], np.uint64)])
+                m = pa.array(np.concatenate([np.zeros(len(some), np.int32), sizes[short].astype(np.int32)]))
+                at = pa.array(np.concatenate([row[some], short]) + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(hs.view(np.int64)), m, b.column(1).take(at), b.column(2).take(at)], ["token", "m", "b1", "b2"])
+
+    marks = materialize(items.select("t", "b1", "b2").mapInArrow(of_items, "token long, m int, b1 long, b2 long").distinct(), "item-fingerprints")
+    lengths = [r.m for r in marks.select("m").where("m > 0").distinct().collect()]
+    shared = rows.sparkSession.sparkContext.broadcast(token_filter(marks))
+
+    def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for lo, _, data, off in wv.slices(b.column(0)):
+                w = wv.words(data, off, wv.ALNUM)
+                for m in (0, *lengths):
+                    h, at = wv.windows(w, m or gram)
+                    row = np.searchsorted(w.first, at, "right") - 1
+                    if not m:
+                        some = winnow(h, at, row, width)
+                        h, row = h[some], row[some]
+                    there = passes(h, bits)
+                    row = pa.array(row[there] + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[there].view(np.int64)), pa.array(np.full(len(row), m, np.int32)), b.column(1).take(row), b.column(2).take(row)], ["token", "m", "k1", "k2"])
+
+    found = rows.select("t", "k1", "k2").mapInArrow(of_documents, "token long, m int, k1 long, k2 long").distinct()
+    found = materialize(found, "document-fingerprints")
+    return materialize(found.join(marks, ["token", "m"]).select("k1", "k2", "b1", "b2").distinct(), "candidates")
+
+
+def _hits_by_join(rows: DataFrame, items: DataFrame, window: int, gram: int, part_items: int = 64) -> DataFrame:
+    """(k1, k2, items, spans): the hits of documents in a benchmark of any size; a document with many candidate items has a row for
+    each ``part_items`` of them, and its text moves once for each."""
+    pairs = _candidates(rows, items, window, gram)
+    parts = materialize(pairs.groupBy("k1", "k2").agg(F.ceil(F.count("*") / part_items).cast("int").alias("parts")), "candidate-parts")
+    own = F.pmod(F.xxhash64("b1", "b2"), F.col("parts")).cast("int").alias("part")
+    asked = pairs.join(parts, ["k1", "k2"]).join(items, ["b1", "b2"]).select("k1", "k2", own, F.lit(False).alias("doc"), "item", "t")
+    texts = rows.select("k1", "k2", "t").join(parts, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = texts.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("doc"), F.lit("").alias("item"), "t")
+
+    def find(key, got):
+        doc = np.asarray(got.column("doc").to_pylist(), bool)
+        ids, texts = got.column("item").to_pylist(), got.column("t").to_pylist()
+        index = Index([(i, t) for i, t, d in zip(ids, texts, doc) if not d], window, gram)
+        _, spans, items = index.find(*wv.buffers(pa.array([texts[int(np.flatnonzero(doc)[0])]], pa.large_string())))[0]
+        return pa.Table.from_pylist([{"k1": key[0].as_py(), "k2": key[1].as_py(), "items": sorted(items), "spans": [{"starts": a, "ends": b} for a, b in spans]}] if spans else [], _HITS)
+
+    found = asked.unionByName(texts).groupBy("k1", "k2", "part").applyInArrow(find, "k1 long, k2 long, items array<string>, spans array<struct<starts:long,ends:long>>")
+    return materialize(found, "hits")
+
+
+_HITS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("starts", pa.int64()), ("ends", pa.int64())])))])
 
 
 def decontaminate(
@@ -140,22 +197,21 @@ def decontaminate(
     fingerprint is extended word by word, comparing the words themselves. Items
     shorter than the window are looked up in all runs of their length.
 
-    Documents are read in Arrow batches and never shuffled: the benchmark's
-    fingerprints are broadcast, in blocks of at most block_chars characters. A
-    benchmark of one block takes one pass; a larger one takes a pass for each,
-    whose hits are written and merged by document.
+    A benchmark of at most ``block_chars`` characters, which are counted first, is broadcast, and documents are read in Arrow
+    batches and never shuffled. With a larger one fingerprints meet by hash in the cluster (``_hits_by_join``); only
+    texts with candidates move.
 
-    Null and empty texts have no words; null items are left out, a null item id
-    is listed as an empty string. Repeated items count once, repeated documents
-    each. Input columns with the added names are replaced.
+    Null and empty texts have no words; very long ones are read whole. Null items are left out, a null item id
+    is listed as an empty string. Repeated items count once, repeated documents each; items with equal texts are
+    listed each, in the order of their ids as strings. No items give no hits, no documents no rows. Input
+    columns with the added names are replaced, others kept whatever their names.
     """
     small_batches(docs)
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, block_chars, item_col, item_text_col)
-    first, second = next(blocks), next(blocks, None)
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("t")).where(F.col("t").isNotNull())
 
-    def finder(block: list[tuple[str, str]]):
-        shared = spark.sparkContext.broadcast(block)
+    if (items.agg(F.sum(F.length("t"))).first()[0] or 0) <= block_chars:
+        shared = spark.sparkContext.broadcast([(r.item, r.t) for r in items.collect()])
         built: list[Index] = []
 
         @F.arrow_udf(FOUND)
@@ -165,22 +221,16 @@ def decontaminate(
             out = []
             for _, _, data, off in wv.slices(t):
                 for n, spans, items in built[0].find(data, off):
-                    out.append({"n_words": n, "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "starts": [a for a, _ in spans], "ends": [b for _, b in spans]})
-            return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+                    out.append({"n_words": n, "n_hit": sum(b - a for a, b in spans), "items": sorted(items)})
+            return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]))
 
-        return found
-
-    if second is None:
-        rows = docs.select(F.struct("*").alias("d"), finder(first)(F.col(text_col)).alias("f"))
+        rows = docs.select(F.struct("*").alias("d"), found(F.col(f"`{text_col}`")).alias("f"))
         added = {"n_words": F.col("f.n_words"), "n_hit": F.col("f.n_hit"), "items": F.col("f.items")}
         return unpack(rows, docs.columns, added | {"contaminated": F.col("f.n_hit") > 0})
 
     rows = with_row_key(docs, id_col, text_col)
-    parts = None
-    for block in _chain(first, second, blocks):
-        hits = rows.select("k1", "k2", finder(block)("t").alias("f")).where("f.n_hit > 0")
-        hits = materialize(hits.select("k1", "k2", "f.items", F.arrays_zip("f.starts", "f.ends").alias("spans")).dropDuplicates(["k1", "k2"]), "hits")
-        parts = hits if parts is None else parts.unionByName(hits)
+    items = materialize(items.select("item", "t", *(h.alias(n) for h, n in zip(two_hashes("item", "t"), ("b1", "b2")))).dropDuplicates(["b1", "b2"]), "items")
+    parts = _hits_by_join(rows, items, window, gram)
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     step = lambda s, x: F.struct(F.greatest(s["upto"], x["ends"]).alias("upto"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(s["upto"], x["starts"]))).alias("n"))
     merged = parts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
@@ -190,8 +240,3 @@ def decontaminate(
     hit = F.coalesce("hit", F.lit(0).cast("long"))
     return unpack(joined, docs.columns, {"n_words": n_words, "n_hit": hit, "items": F.coalesce("found", F.array().cast("array<string>")), "contaminated": hit > 0})
 
-
-def _chain(first, second, rest):
-    yield first
-    yield second
-    yield from rest
