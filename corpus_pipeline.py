@@ -14,7 +14,7 @@ from lectern.llm.exact_dedup import one_of_each_text
 from lectern.llm.mixing import mix_sources
 from lectern.llm.ngram_join import one_of_each_class
 from lectern.llm.quality import quality_classifier
-from lectern.sources.tables import materialize, table
+from lectern.sources.tables import drop_paths, made, materialize, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each one's result written and read again. What a stage has written on its way, and the result
+    before it, is dropped once its own result stands."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with made() as paths:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_paths(spark, before + paths[:-1])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
