@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import few, small_batches, with_row_key, without
+from lectern.llm.common import few, passes, small_batches, token_filter, with_row_key, without
 from lectern.llm.components import components
 from lectern.sources.tables import materialize
 
-BANDS, ROWS = 8, 3
-_RNG = np.random.RandomState(99)
-_MULT = [np.uint64((int(_RNG.randint(1, 1 << 31)) << 33) | (int(_RNG.randint(1, 1 << 31)) << 2) | 1) for _ in range(BANDS * ROWS)]
-BITS = 1024
+#: Bits of the bitmap of a small set; of a larger one as many as it has elements, rounded up to a power of two, at most MOST_BITS.
+BITS, MOST_BITS = 1024, 1 << 15
 
 
 class Sets(NamedTuple):
@@ -114,12 +112,13 @@ def choose_matches(estimate: np.ndarray, n: int, percent: int, most: int = 8, ve
 
 
 def features(texts: DataFrame, id_type: T.DataType, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """For each row: n, a 128-bit signature of its set (two longs), weight (mean estimated frequency of its shingles), minhash
-    bands, its prefix and number of matches, and a bitmap of the parities of its shingles' buckets."""
+    """For each row: n, a 128-bit signature of its set (two longs), weight (mean estimated frequency of its shingles), its prefix
+    and number of matches, and a bitmap of the parities of its shingles' buckets. Prefix tokens whose bucket
+    holds one text only are left out: nothing can share them."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
     shift = np.uint64(64 - (len(sketch).bit_length() - 1))
     long = T.LongType()
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("k1", long), T.StructField("k2", long), T.StructField("n", long), T.StructField("s1", long), T.StructField("s2", long), T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(long)), T.StructField("prefix", T.ArrayType(long)), T.StructField("matches", T.IntegerType()), T.StructField("bitmap", T.ArrayType(long))])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("k1", long), T.StructField("k2", long), T.StructField("n", long), T.StructField("s1", long), T.StructField("s2", long), T.StructField("weight", T.FloatType()), T.StructField("prefix", T.ArrayType(long)), T.StructField("matches", T.IntegerType()), T.StructField("bitmap", T.ArrayType(long))])
 
     def lists(values: np.ndarray, cut: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.view(np.int64)))
@@ -135,31 +134,33 @@ def features(texts: DataFrame, id_type: T.DataType, sketch: np.ndarray, k: int,
                 some = np.flatnonzero(n > 0)
                 at = s.first[:-1][some]
 
-                def per_row(values, reduce=np.add, some=some, at=at, rows=rows):
+                def per_row(values, some=some, at=at, rows=rows):
                     out = np.zeros(rows, values.dtype)
                     if len(at):
-                        out[some] = reduce.reduceat(values, at)
+                        out[some] = np.add.reduceat(values, at)
                     return out
 
                 est = counts[(s.hash >> shift).astype(np.int64)]
                 weight = per_row(est.astype(np.float64)) / np.maximum(n, 1)
-                least = [per_row(wv.mix(s.hash * m), np.minimum) for m in _MULT]
-                bands = np.stack([sum((least[i * ROWS + j] * _MULT[j] for j in range(1, ROWS)), least[i * ROWS]) + np.uint64(i) for i in range(BANDS)], axis=1) if rows else np.zeros((0, BANDS), np.uint64)
                 order = np.lexsort((s.hash, est, row))
-                h, partners = s.hash[order], np.maximum(0.0, est[order] - noise)
+                h, held = s.hash[order], est[order]
+                partners = np.maximum(0.0, held - noise)
                 picked, cut, matches = [], [0], []
                 for i in range(rows):
                     a, m = s.first[i], int(n[i])
                     asked = choose_matches(partners[a : a + m], m, percent) if m else 1
-                    picked.append(h[a : a + (prefix_length(m, percent, asked) if m else 0)])
+                    upto = a + (prefix_length(m, percent, asked) if m else 0)
+                    picked.append(h[a:upto][held[a:upto] > 1])
                     cut.append(cut[-1] + len(picked[-1]))
                     matches.append(asked)
-                parity = np.bincount(row * BITS + (s.hash & np.uint64(BITS - 1)).astype(np.int64), minlength=rows * BITS).reshape(rows, BITS) & 1
-                bitmap = np.packbits(parity.astype(np.uint8), axis=1).reshape(-1).view(np.int64)
+                bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), BITS, MOST_BITS)
+                base = np.concatenate([[0], np.cumsum(bits)])
+                parity = np.bincount(base[row] + (s.hash.astype(np.int64) & (bits[row] - 1)), minlength=base[-1]) & 1
+                bitmap = np.packbits(parity.astype(np.uint8)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(i).slice(lo, rows) for i in range(3)), pa.array(n), pa.array(per_row(wv.mix(s.hash)).view(np.int64)), pa.array(per_row(wv.mix(~s.hash)).view(np.int64)), pa.array(weight),
-                        lists(bands.reshape(-1), np.arange(rows + 1) * BANDS), lists(np.concatenate(picked) if picked else np.zeros(0, np.uint64), np.asarray(cut)), pa.array(matches, pa.int32()), lists(bitmap, np.arange(rows + 1) * (BITS // 64)),
+                        *(b.column(i).slice(lo, rows) for i in range(3)), pa.array(n), pa.array(per_row(wv.mix(s.hash)).view(np.int64)), pa.array(per_row(wv.mix(~s.hash)).view(np.int64)), pa.array(weight.astype(np.float32)),
+                        lists(np.concatenate(picked) if picked else np.zeros(0, np.uint64), np.asarray(cut)), pa.array(matches, pa.int32()), lists(bitmap, base // 64),
                     ],
                     schema.names,
                 )
@@ -203,78 +204,160 @@ def _groups(link: np.ndarray) -> np.ndarray:
     return out
 
 
-def _xor_bits(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def _bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits two bitmaps differ; where one has twice as many bits, its halves are laid over each other, which parities allow.
+    0, which proves nothing, where sizes are further apart."""
+
+    def fold(x: Column, n: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) == n, x).when(F.size(x) == 2 * n, halves)
+
+    n = F.least(F.size(a), F.size(b))
+    each = F.zip_with(fold(a, n), fold(b, n), lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long"))
+    return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda t, x: t + x), F.lit(0).cast("long"))
 
 
 def may_reach(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
     """False only for sets that surely are less similar: by size, and since sets differ in at least as many
     elements as their parity bitmaps do."""
-    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return sizes & (_xor_bits(a, b) * (100 + percent) <= (100 - percent) * (na + nb))
+    return F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb), _bits_apart(a, b) * (100 + percent) <= (100 - percent) * (na + nb)).otherwise(F.lit(False))
 
 
-def _with_text(keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """keys (k1, k2, ...) with their texts, one for each key; keys must be written already."""
-    texts = rows.select("k1", "k2", "t")
-    wanted = keys.select("k1", "k2").distinct()
-    found = texts.join(few(wanted, keys.count()), ["k1", "k2"], "left_semi")
-    found = materialize(found.dropDuplicates(["k1", "k2"]), "texts")
-    return keys.join(found, ["k1", "k2"])
+def _texts_of(keys: DataFrame, rows: DataFrame, repeated: bool, *by: str) -> DataFrame:
+    """keys (k1, k2, ...; written already) with their texts. Where several rows share a key, one row for each key and ``by``."""
+    found = rows.select("k1", "k2", "t").join(few(keys, keys.count()), ["k1", "k2"])
+    return found.dropDuplicates(list(by)) if repeated else found
 
 
-def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 256, crowd: int = 48, sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_classes(
+    docs: DataFrame, k: int = 5, percent: int = 80, block: int = 256, crowd: int = 48, near: int = 50, sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row (id_col, n_shingles, component_id, k1, k2, class) per row of docs.
 
     A text's set are its distinct shingles of k words (runs of anything but
     spaces and \\x09-\\x0D, A-Z in lower case); with fewer words, the whole
     sequence is the one shingle. Two rows link when percent % of the union of their
     sets is shared; component_id is the least id reachable by links. Rows
-    without words have no shingles and are linked with nothing: their
+    without words (null and empty texts among them) have no shingles and are linked with nothing: their
     component is their own id, their class null. Repeated rows are linked like any equal rows.
-    Null ids never are the least if a component has another. An empty table gives no
-    rows. Shingles are 64-bit hashes, sets are known by 128-bit sums.
-
-    1. Equal sets become one node. 2. A sketch of fixed size, made from all
-    texts, orders shingles from rare to frequent. Each node takes a prefix of
-    that order, and asks for as many shared prefix tokens as cost least
-    (``choose_matches``); any two linked nodes share at least the lesser of
-    their two numbers. 3. Families: by minhash bands nodes join the node
-    whose shingles are the most frequent; a family is settled block by block, by
-    exact intersections inside a task of at most ``block`` nodes; nodes that
-    aren't linked with the family's head are held against all its blocks. So a
-    crowd of near copies costs no pairs. 4. Nodes of different families that
-    share enough prefix tokens, are near enough in size and by a bitmap that bounds
-    the intersection, are verified by their texts. Tokens with more than ``crowd`` holders are
-    dealt out in blocks. 5. Components of all links found. Families are only an
-    order of work: every pair that may link lies in one family or goes through 4.
+    Null ids never are the least if a component has another. Very long texts are read whole, in
+    one slice each. Ties between tokens of equal frequency go by hash, between leaders by signature. An empty
+    table gives no rows; other columns of docs are not read, so their names cannot clash. Shingles are
+    64-bit hashes, sets are known by 128-bit sums, and within the
+    join by 64 of their bits that tell them all apart.
+
+    1. A sketch of fixed size, made from all texts, orders shingles from rare to frequent. Each
+    set takes a prefix of that order, and asks for as many shared prefix tokens as cost least
+    (``choose_matches``): any two linked sets share at least the lesser of their two numbers.
+    2. Every prefix token goes through one exchange that sums it up map-side to the least and the greatest set that
+    holds it. What only one set holds goes, by a filter of bounded size; the other tokens' holders are the
+    postings. Equal sets are one node from here on.
+    3. A token's leader is its holder whose shingles are the most frequent. A node that shares enough prefix tokens with a
+    leader for the pair to be a candidate joins the family of the leader it shares the most with. Families are
+    verified by exact intersections, in tasks of at most ``block`` nodes and the leader; nodes that turn out
+    not to be linked with it are held against all blocks of the family. So a crowd of near copies makes no pairs.
+    4. Nodes of different families that share enough prefix tokens, are near enough in size and by a bitmap that
+    bounds the intersection, and aren't linked through others yet, are verified pair by pair. Tokens with more than ``crowd``
+    holders are dealt out in blocks. 5. Components of all links. Families only save work: every pair that may link
+    lies in one family or goes through 4. ``near`` is the likeness that size and bitmap must allow within a family; above 100
+    there are none.
     """
     small_batches(docs)
     rows = with_row_key(docs, id_col, text_col).select(F.col(f"d.`{id_col}`").alias("id"), "k1", "k2", "t")
     sketch = frequency_sketch(rows.select("t"), k, sketch_bits)
-    all_rows = materialize(features(rows, docs.schema[id_col].dataType, sketch, k, percent), "sets")
-    nodes = all_rows.where("n > 0").withColumn("sig", F.struct("s1", "s2"))
-    nodes = materialize(nodes.drop("id", "s1", "s2").dropDuplicates(["sig"]), "nodes")
-
-    # Families.
-    near = 50
-    banded = nodes.select("sig", "weight", "n", "bitmap", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.max(F.struct("weight", "sig", "n", "bitmap")).alias("head"), F.count("*").alias("held")).where("held > 1")
-    heads = materialize(heads.select("band", "head"), "heads")
-    joined = banded.join(heads, "band").where((F.col("sig") != F.col("head.sig")) & may_reach(F.col("n"), F.col("head.n"), F.col("bitmap"), F.col("head.bitmap"), near))
-    family = joined.groupBy("sig").agg(F.max(F.struct("head.weight", "head.sig")).alias("head")).select("sig", F.col("head.sig").alias("head"))
-    family = materialize(family, "family")
-    up = family.select(F.col("sig").alias("head"), F.col("head").alias("above"))
-    family = family.join(up, "head", "left").select("sig", F.coalesce("above", "head").alias("head"))
-    family = materialize(family.unionByName(family.select(F.col("head").alias("sig"), "head")).groupBy("sig").agg(F.min(F.struct((F.col("sig") != F.col("head")).alias("other"), "head")).alias("x")).select("sig", F.col("x.head").alias("head")), "families")
-
-    # Links inside families.
+    sets = materialize(features(rows, docs.schema[id_col].dataType, sketch, k, percent), "sets")
+    ids = materialize(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")), "node-ids")
+    salt = 0
+    while not ids.groupBy(_node(salt)).count().where("count > 1").isEmpty():
+        salt += 1
+    sets, ids = sets.select("id", "k1", "k2", "n", _node(salt), "weight", "prefix", "matches", "bitmap"), ids.select(_node(salt), "id")
+
+    # Postings of the tokens that several sets hold, and their nodes.
+    held = sets.select(F.explode("prefix").alias("token"), "node").groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    held = materialize(held.where("low != high").select("token"), "shared-tokens")
+    posts = materialize(_among_shared(sets, held).distinct(), "postings")
+    known = materialize(posts.select("node").distinct(), "posted")
+    own = sets.join(few(known, known.count()), "node", "left_semi")
+    repeated = not own.groupBy("k1", "k2").count().where("count > 1").isEmpty()
+    nodes = own.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("key"), *(F.first(c).alias(c) for c in ("n", "matches", "bitmap")))
+    nodes = materialize(nodes.select("node", "key.k1", "key.k2", "n", "matches", "bitmap"), "nodes")
+
+    family = _families(posts, nodes, near)
+    edges = _linked_in_families(family, nodes, rows, repeated, k, percent, block)
+
+    # Links between families.
+    pairs = materialize(_shared_tokens(posts, family, nodes, percent, block, crowd), "sharing-pairs")
+    a, b = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "bitmap", "k1", "k2"))) for x in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").where(F.col("shared") >= F.least("matches_a", "matches_b"))
+    pairs = pairs.where(may_reach(F.col("n_a"), F.col("n_b"), F.col("bitmap_a"), F.col("bitmap_b"), percent))
+    pairs = materialize(pairs.select("a", "b", "n_a", "n_b", "k1_a", "k2_a", "k1_b", "k2_b"), "candidates")
+    if not pairs.isEmpty():
+        edges = edges.unionByName(_verified(pairs, components(edges), rows, repeated, k, percent))
+
+    # Classes.
+    roots = components(edges)
+    label = materialize(ids.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "labels")
+    least = label.groupBy("root").agg(F.min("id").alias("component_id"))
+    label = materialize(label.join(materialize(least, "least-ids"), "root").select("node", "root", "component_id"), "classes")
+    out = sets.select("id", "n", "k1", "k2", "node")
+    alone = out.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "k1", "k2", F.lit(None).cast("long").alias("root"))
+    out = out.where("n > 0").join(label, "node").select("id", "n", "component_id", "k1", "k2", "root").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "k1", "k2", F.col("root").alias("class"))
+
+
+def _node(salt: int) -> Column:
+    """A set's key: 64 bits of its 128, by a salt under which no two sets have the same."""
+    return F.xxhash64(F.lit(salt), "s1", "s2").alias("node")
+
+
+def _among_shared(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, weight, token) of the prefix tokens that pass the filter of the shared ones: all of these, and a few of the others,
+    which no second set holds and which therefore give no pair. On more tokens than the filter can tell apart more of
+    the others pass; the result stays the same."""
+    shared = sets.sparkSession.sparkContext.broadcast(token_filter(tokens))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            prefix = b.column(2)
+            n = np.diff(prefix.offsets.to_numpy())
+            token = prefix.flatten().to_numpy()
+            there = passes(token.view(np.uint64), bits)
+            row = pa.array(np.repeat(np.arange(len(n)), n)[there])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(2)), pa.array(token[there])], ["node", "weight", "token"])
+
+    return sets.select("node", "weight", "prefix").mapInArrow(pick, "node long, weight float, token long")
+
+
+def _families(posts: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
+    """(node, head) of nodes that share enough prefix tokens with a leader; a head is in its own family. Written.
+
+    A token's leader is summed map-side. Leaders rise strictly in (weight, node), so heads of
+    heads end; one step up is taken, and who leads others stays with itself.
+    """
+    leads = posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("lead")).select("token", F.col("lead.node").alias("lead"))
+    leads = materialize(leads, "leaders")
+    met = posts.join(few(leads, leads.count()), "token").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    best = met.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("x")).select("node", "x.lead", "x.shared")
+    x, y = (nodes.select(F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "matches", "bitmap"))) for c in ("node", "lead"))
+    best = materialize(best, "best-leaders").join(x, "node").join(y, "lead").where(F.col("shared") >= F.least("matches_node", "matches_lead"))
+    best = best.where(may_reach(F.col("n_node"), F.col("n_lead"), F.col("bitmap_node"), F.col("bitmap_lead"), near))
+    first = materialize(best.select("node", F.col("lead").alias("head")), "first-heads")
+    up = first.select(F.col("node").alias("head"), F.col("head").alias("above"))
+    raised = materialize(first.join(up, "head", "left").select("node", F.coalesce("above", "head").alias("head")), "raised-heads")
+    both = raised.unionByName(raised.select(F.col("head").alias("node"), "head"))
+    both = both.groupBy("node").agg(F.min(F.struct((F.col("node") != F.col("head")).alias("other"), "head")).alias("x"))
+    return materialize(both.select("node", F.col("x.head").alias("head")), "families")
+
+
+def _linked_in_families(family: DataFrame, nodes: DataFrame, rows: DataFrame, repeated: bool, k: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that give the components within each family. Written."""
     sizes = family.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = family.join(materialize(sizes, "family-sizes"), "head").join(nodes.select("sig", "k1", "k2"), "sig")
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    is_head = F.col("sig") == F.col("head")
+    placed = family.join(materialize(sizes, "family-sizes"), "head").join(nodes.select("node", "k1", "k2"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    is_head = F.col("node") == F.col("head")
     placed = placed.select("*", is_head.alias("is_head"), F.explode(F.when(is_head, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
-    placed = _with_text(materialize(placed, "placed"), rows)
+    placed = _texts_of(materialize(placed, "placed"), rows, repeated, "node", "block")
 
     def settle(got):
         sets = _sets_of(got.column("t").combine_chunks(), k)
@@ -282,38 +365,16 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2
         head = np.asarray(got.column("is_head").to_pylist(), bool)
         led = np.isin(root, root[head])
         first = np.where(led & head.any(), np.flatnonzero(head)[0] if head.any() else 0, root)
-        sig = got.column("sig").combine_chunks()
-        return pa.table({"sig": sig, "head": got.column("head"), "blocks": got.column("blocks"), "block": got.column("block"), "k1": got.column("k1"), "k2": got.column("k2"), "root": sig.take(pa.array(first)), "led": pa.array(led)})
+        node = got.column("node").combine_chunks()
+        return pa.table({"node": node, "head": got.column("head"), "blocks": got.column("blocks"), "block": got.column("block"), "k1": got.column("k1"), "k2": got.column("k2"), "root": node.take(pa.array(first)), "led": pa.array(led)})
 
-    sig_type = "struct<s1:long,s2:long>"
-    local = placed.groupBy("head", "block").applyInArrow(settle, f"sig {sig_type}, head {sig_type}, blocks int, block int, k1 long, k2 long, root {sig_type}, led boolean")
+    local = placed.groupBy("head", "block").applyInArrow(settle, "node long, head long, blocks int, block int, k1 long, k2 long, root long, led boolean")
     local = materialize(local, "settled")
-    edges = local.where("sig != root").select(F.col("sig").alias("a"), F.col("root").alias("b"))
+    edges = local.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     apart = local.where("blocks > 1 and not led")
     if not apart.isEmpty():
-        edges = edges.unionByName(_held_against_family(apart, local, rows, k, percent, block, sig_type))
-
-    # Links between families.
-    tokens = nodes.join(family, "sig", "left").select("sig", F.coalesce(F.xxhash64("head"), F.lit(0)).alias("fam"), F.explode("prefix").alias("token"))
-    pairs = _shared_tokens(tokens, nodes, percent, block, crowd)
-    a, b = (nodes.select(F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "bitmap", "k1", "k2"))) for x in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").where(F.col("shared") >= F.least("matches_a", "matches_b"))
-    pairs = pairs.where(may_reach(F.col("n_a"), F.col("n_b"), F.col("bitmap_a"), F.col("bitmap_b"), percent))
-    pairs = materialize(pairs.select("a", "b", "k1_a", "k2_a", "k1_b", "k2_b"), "candidates")
-    edges = edges.unionByName(_verified(pairs, rows, k, percent))
-
-    # Classes.
-    roots = components(edges)
-    ids = all_rows.where("n > 0").groupBy(F.struct("s1", "s2").alias("sig")).agg(F.min("id").alias("id"))
-    label = ids.join(roots, ids.sig == roots.node, "left").select("sig", "id", F.coalesce("root", "sig").alias("root"))
-    label = materialize(label, "labels")
-    least = label.groupBy("root").agg(F.min("id").alias("component_id"))
-    label = materialize(label.join(materialize(least, "least-ids"), "root").select("sig", "root", "component_id"), "classes")
-    out = all_rows.select("id", "n", "k1", "k2", F.struct("s1", "s2").alias("sig"))
-    none = F.lit(None).cast("struct<s1:long,s2:long>")
-    alone = out.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "k1", "k2", none.alias("root"))
-    out = out.where("n > 0").join(label, "sig").select("id", "n", "component_id", "k1", "k2", "root").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "k1", "k2", F.col("root").alias("class"))
+        edges = edges.unionByName(_held_against_family(apart, local, rows, repeated, k, percent, block))
+    return edges
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -329,14 +390,14 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return without(docs, keys, id_col, text_col)
 
 
-def _held_against_family(apart: DataFrame, local: DataFrame, rows: DataFrame, k: int, percent: int, block: int, sig_type: str) -> DataFrame:
+def _held_against_family(apart: DataFrame, local: DataFrame, rows: DataFrame, repeated: bool, k: int, percent: int, block: int) -> DataFrame:
     """Links of nodes that aren't linked with their family's head, with all blocks of the family: a task holds
     one block of either. Of a node's links into one settled group, one is kept."""
     counts = apart.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("teams"))
     counts = materialize(counts, "teams")
-    asked = apart.join(counts, "head").select("head", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("teams")).cast("int").alias("team"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sig", "root", "k1", "k2", F.lit(True).alias("asks"))
-    there = local.join(counts, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), "block", "sig", "root", "k1", "k2", F.lit(False).alias("asks"))
-    both = _with_text(materialize(asked.unionByName(there), "held-against"), rows)
+    asked = apart.join(counts, "head").select("head", F.pmod(F.xxhash64("node", F.lit(1)), F.col("teams")).cast("int").alias("team"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "k1", "k2", F.lit(True).alias("asks"))
+    there = local.join(counts, "head").select("head", F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), "block", "node", "root", "k1", "k2", F.lit(False).alias("asks"))
+    both = _texts_of(materialize(asked.unionByName(there), "held-against"), rows, repeated, "head", "team", "block", "node", "asks")
 
     def hold(got):
         sets = _sets_of(got.column("t").combine_chunks(), k)
@@ -344,74 +405,95 @@ def _held_against_family(apart: DataFrame, local: DataFrame, rows: DataFrame, k:
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         link = linked([sets[i] for i in left], [sets[i] for i in right], percent)
         root = got.column("root").to_pylist()
-        sig = got.column("sig").combine_chunks()
-        kept = {(left[i], (root[right[j]]["s1"], root[right[j]]["s2"])): right[j] for i, j in zip(*np.nonzero(link))}
-        return pa.table({"a": sig.take(pa.array([i for i, _ in kept], pa.int64())), "b": sig.take(pa.array(list(kept.values()), pa.int64()))})
+        node = got.column("node").combine_chunks()
+        kept = {(left[i], root[right[j]]): right[j] for i, j in zip(*np.nonzero(link))}
+        return pa.table({"a": node.take(pa.array([i for i, _ in kept], pa.int64())), "b": node.take(pa.array(list(kept.values()), pa.int64()))})
 
-    return materialize(both.groupBy("head", "team", "block").applyInArrow(hold, f"a {sig_type}, b {sig_type}"), "family-links")
+    return materialize(both.groupBy("head", "team", "block").applyInArrow(hold, "a long, b long"), "family-links")
 
 
-def _shared_tokens(tokens: DataFrame, nodes: DataFrame, percent: int, block: int, crowd: int) -> DataFrame:
+def _shared_tokens(posts: DataFrame, family: DataFrame, nodes: DataFrame, percent: int, block: int, crowd: int) -> DataFrame:
     """(a, b, shared) of pairs of nodes of different families with the number of prefix tokens that they share.
 
-    fam is 0 for a node without family. A token's holders are counted by a
-    window, which spills; tokens of one holder or one family go. Of a token
-    with at most ``crowd`` holders the pairs are joined; the holders of others meet in blocks, and
-    only pairs near enough in size and bitmap come out.
+    A node without family is one of its own. Tokens are summed map-side to their number of holders and
+    their least and greatest family; those of one family go. Of a token with at most ``crowd`` holders
+    the pairs are joined; the holders of others meet in blocks, and only pairs near enough in size and bitmap come out.
     """
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("token")
-    held = tokens.select("*", F.count("*").over(same).alias("held"), F.min("fam").over(same).alias("low"), F.max("fam").over(same).alias("high"))
-    held = materialize(held.where("held > 1 and not (low = high and low != 0)").select("token", "sig", "fam", "held"), "shared-tokens")
+    held = posts.select("token", "node").join(family, "node", "left").select("token", "node", F.xxhash64(F.coalesce("head", "node")).alias("fam"))
+    held = materialize(held, "family-postings")
+    mixed = held.groupBy("token").agg(F.count("*").alias("held"), F.min("fam").alias("low"), F.max("fam").alias("high")).where("low != high")
+    mixed = materialize(mixed.select("token", "held"), "mixed-tokens")
+    held = materialize(held.join(few(mixed, mixed.count()), "token"), "mixed-postings")
     some = held.where(F.col("held") <= crowd)
-    a, b = (some.select("token", F.col("sig").alias(x), F.col("fam").alias(f"fam_{x}")) for x in "ab")
-    few = a.join(b, "token").where("a < b and (fam_a != fam_b or fam_a = 0)").select("a", "b")
+    a, b = (some.select("token", F.col("node").alias(x), F.col("fam").alias(f"fam_{x}")) for x in "ab")
+    pairs = a.join(b, "token").where("a < b and fam_a != fam_b").select("a", "b")
     many = held.where(F.col("held") > crowd)
     if not many.isEmpty():
         parts = F.ceil(F.col("held") / block).cast("int")
-        own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-        many = many.join(nodes.select("sig", "n", "bitmap"), "sig").withColumn("parts", parts).withColumn("own", own)
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        many = many.join(nodes.select("node", "n", "bitmap"), "node").withColumn("parts", parts).withColumn("own", own)
         # Blocks i <= j meet: a node of block p goes to (p, j) for j >= p and to (i, p) for i < p.
         meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("own", q).alias("i"), F.greatest("own", q).alias("j")))
-        many = many.select("token", "sig", "fam", "n", "bitmap", "own", F.explode(meet).alias("at")).select("token", "at.i", "at.j", "sig", "fam", "n", "bitmap", "own")
+        many = many.select("token", "node", "fam", "n", "bitmap", "own", F.explode(meet).alias("at")).select("token", "at.i", "at.j", "node", "fam", "n", "bitmap", "own")
 
         def meet_pairs(got):
             n, fam, own = (got.column(c).to_numpy() for c in ("n", "fam", "own"))
             i, j = got.column("i")[0].as_py(), got.column("j")[0].as_py()
-            flat = got.column("bitmap").combine_chunks().flatten().to_numpy().reshape(len(n), -1).view(np.uint64)
+            bitmap = got.column("bitmap").combine_chunks()
+            wide, flat = np.diff(bitmap.offsets.to_numpy()), bitmap.flatten().to_numpy().view(np.uint64)
+            first = np.cumsum(wide) - wide
+            maps = {w: flat[first[wide == w][:, None] + np.arange(w)] for w in np.unique(wide)}
+            at = np.zeros(len(n), np.int64)
+            for w in maps:
+                at[wide == w] = np.arange((wide == w).sum())
+
+            def apart_from(x: int, y: np.ndarray) -> np.ndarray:
+                """In how many bits x differs from each of y, as far as lengths allow to tell."""
+                out = np.zeros(len(y), np.int64)
+                own, w = maps[wide[x]][at[x]], int(wide[x])
+                for v in np.unique(wide[y]):
+                    some = wide[y] == v
+                    other = maps[v][at[y[some]]]
+                    if v == w:
+                        out[some] = np.bitwise_count(other ^ own).sum(1, dtype=np.int64)
+                    elif v == 2 * w:
+                        out[some] = np.bitwise_count(other[:, :w] ^ other[:, w:] ^ own).sum(1, dtype=np.int64)
+                    elif w == 2 * v:
+                        out[some] = np.bitwise_count(other ^ own[:v] ^ own[v:]).sum(1, dtype=np.int64)
+                return out
+
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             out = []
             for x in left:
                 y = right[right > x] if i == j else right
-                y = y[(fam[y] != fam[x]) | (fam[y] == 0)]
+                y = y[fam[y] != fam[x]]
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-                apart = np.bitwise_count(flat[y] ^ flat[x]).sum(1, dtype=np.int64)
-                y = y[apart * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
+                y = y[apart_from(x, y) * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
                 out.append(np.stack([np.full(len(y), x), y]))
             pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            sig = got.column("sig").combine_chunks()
-            return pa.table({"a": sig.take(pa.array(pairs[0])), "b": sig.take(pa.array(pairs[1]))})
+            node = got.column("node").combine_chunks()
+            return pa.table({"a": node.take(pa.array(pairs[0])), "b": node.take(pa.array(pairs[1]))})
 
-        crowds = many.groupBy("token", "i", "j").applyInArrow(meet_pairs, "a struct<s1:long,s2:long>, b struct<s1:long,s2:long>")
-        few = few.unionByName(crowds.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return few.groupBy("a", "b").agg(F.count("*").alias("shared"))
+        crowds = many.groupBy("token", "i", "j").applyInArrow(meet_pairs, "a long, b long")
+        pairs = pairs.unionByName(crowds.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link, by their texts' sets."""
-    keys = pairs.select(F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")).unionByName(pairs.select(F.col("k1_b").alias("k1"), F.col("k2_b").alias("k2"))).distinct()
-    texts = _with_text(materialize(keys, "candidate-keys"), rows).select("k1", "k2", "t")
-    texts = materialize(texts, "candidate-texts")
+def _verified(pairs: DataFrame, roots: DataFrame, rows: DataFrame, repeated: bool, k: int, percent: int) -> DataFrame:
+    """Of the pairs whose nodes aren't connected yet, those that link, by their sets of shingles."""
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("t").alias(f"t_{x}")), [f"k1_{x}", f"k2_{x}"])
+        own = roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        pairs = pairs.join(own, x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    pairs = materialize(pairs.where("root_a != root_b").drop("root_a", "root_b"), "open-candidates")
+    keys = pairs.select("a", "k1_a", "k2_a").unionByName(pairs.select(F.col("b").alias("a"), F.col("k1_b").alias("k1_a"), F.col("k2_b").alias("k2_a")))
+    keys = materialize(keys.distinct().select(F.col("a").alias("node"), F.col("k1_a").alias("k1"), F.col("k2_a").alias("k2")), "candidate-keys")
 
-    @F.arrow_udf("boolean")
-    def link(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(_sets_of(a, k), _sets_of(b, k)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-        return pa.array(out, pa.bool_())
+    @F.arrow_udf("array<long>")
+    def shingles(t: pa.Array) -> pa.Array:
+        return pa.array([s.view(np.int64) for s in _sets_of(t, k)], pa.list_(pa.int64()))
 
-    return materialize(pairs.where(link("t_a", "t_b")).select("a", "b"), "links")
+    sets = materialize(_texts_of(keys, rows, repeated, "node").select("node", shingles("t").alias("h")), "candidate-sets")
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}")), x)
+    both = F.size(F.array_intersect("h_a", "h_b"))
+    return materialize(pairs.where((both > 0) & (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))).select("a", "b"), "links")
