@@ -41,6 +41,33 @@ SENTENCES = {
     "cc0-1": "licensed under cc0 1 0",
     "cc-by-work-4": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-nc-work-4": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "apache-title": "apache license version 2 0 january 2004",
+    "mpl-title": "mozilla public license version 2 0",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "bsd0-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "cc-by-sa-work-4": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache": "spdx license identifier apache 2 0",
+    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 or later",
+    "spdx-mpl": "spdx license identifier mpl 2 0",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
@@ -51,10 +78,32 @@ RULES = (
     ("Apache-2.0", "header", ("apache-licensed-the", "apache-comply", "apache-copy", "apache-basis", "apache-see")),
     ("GPL-3.0-or-later", "header", ("gpl-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", "header", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("LGPL-2.1-or-later", "header", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", "header", ("lgpl3-free", "gpl-hope", "lgpl-see")),
+    ("AGPL-3.0-or-later", "header", ("agpl3-free", "gpl-hope", "agpl-see")),
     ("BSD-3-Clause", "text", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", "text", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("ISC", "text", ("isc-grant",)),
     ("MPL-2.0", "header", ("mpl-form", "mpl-copy")),
+    ("Zlib", "text", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", "text", ("boost-grant",)),
+    ("0BSD", "text", ("bsd0-grant",)),
+    ("EPL-2.0", "header", ("epl2",)),
+    ("WTFPL", "text", ("wtfpl",)),
+    ("GPL-3.0", "title", ("gpl3-title",)),
+    ("GPL-2.0", "title", ("gpl2-title",)),
+    ("LGPL-3.0", "title", ("lgpl3-title",)),
+    ("AGPL-3.0", "title", ("agpl3-title",)),
+    ("Apache-2.0", "title", ("apache-title",)),
+    ("MPL-2.0", "title", ("mpl-title",)),
+    ("MIT", "tag", ("spdx-mit",)),
+    ("Apache-2.0", "tag", ("spdx-apache",)),
+    ("GPL-3.0-or-later", "tag", ("spdx-gpl3",)),
+    ("GPL-2.0-or-later", "tag", ("spdx-gpl2",)),
+    ("MPL-2.0", "tag", ("spdx-mpl",)),
+    ("BSD-3-Clause", "tag", ("spdx-bsd3",)),
+    ("BSD-2-Clause", "tag", ("spdx-bsd2",)),
+    ("ISC", "tag", ("spdx-isc",)),
     ("MIT", "notice", ("mit-released",)),
     ("MIT", "notice", ("mit-licensed",)),
     ("Apache-2.0", "notice", ("apache-licensed",)),
@@ -65,6 +114,7 @@ RULES = (
     ("CC-BY-4.0", "notice", ("cc-by-4",)),
     ("CC-BY-4.0", "notice", ("cc-by-work-4",)),
     ("CC-BY-SA-4.0", "notice", ("cc-by-sa-4",)),
+    ("CC-BY-SA-4.0", "notice", ("cc-by-sa-work-4",)),
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc-4",)),
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc-work-4",)),
     ("CC0-1.0", "notice", ("cc0-1",)),
