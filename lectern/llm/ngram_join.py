@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import wordvec as wv
-from lectern.llm.common import few, passes, small_batches, token_filter, with_row_key, without
+from lectern.llm.common import FEW, few, passes, small_batches, token_filter, with_row_key, without
 from lectern.llm.components import components
 from lectern.sources.tables import materialize
 
@@ -266,21 +266,30 @@ def ngram_classes(
     rows = with_row_key(docs, id_col, text_col).select(F.col(f"d.`{id_col}`").alias("id"), "k1", "k2", "t")
     sketch = frequency_sketch(rows.select("t"), k, sketch_bits)
     sets = materialize(features(rows, docs.schema[id_col].dataType, sketch, k, percent), "sets")
-    ids = materialize(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")), "node-ids")
+    ids = materialize(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min(F.struct("k1", "k2")).alias("key")), "node-ids")
     salt = 0
     while not ids.groupBy(_node(salt)).count().where("count > 1").isEmpty():
         salt += 1
-    sets, ids = sets.select("id", "k1", "k2", "n", _node(salt), "weight", "prefix", "matches", "bitmap"), ids.select(_node(salt), "id")
+    sets = sets.select("id", "k1", "k2", "n", _node(salt), "weight", "prefix", "matches", "bitmap")
+    ids, keys = ids.select(_node(salt), "id"), ids.select(_node(salt), "key.k1", "key.k2")
+
+    # One row speaks for equal sets, if the nodes are few enough to tell every task; else their postings are made equal below.
+    repeated = not sets.groupBy("k1", "k2").count().where("count > 1").isEmpty()
+    held_by = ids.count()
+    once = held_by <= FEW and not repeated
+    one = sets.join(F.broadcast(keys), ["node", "k1", "k2"], "left_semi") if held_by <= FEW else sets
 
     # Postings of the tokens that several sets hold, and their nodes.
-    held = sets.select(F.explode("prefix").alias("token"), "node").groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    held = one.select(F.explode("prefix").alias("token"), "node").groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     held = materialize(held.where("low != high").select("token"), "shared-tokens")
-    posts = materialize(_among_shared(sets, held).distinct(), "postings")
+    posts = _among_shared(one, held)
+    posts = materialize(posts if once else posts.distinct(), "postings")
     known = materialize(posts.select("node").distinct(), "posted")
-    own = sets.join(few(known, known.count()), "node", "left_semi")
-    repeated = not own.groupBy("k1", "k2").count().where("count > 1").isEmpty()
-    nodes = own.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("key"), *(F.first(c).alias(c) for c in ("n", "matches", "bitmap")))
-    nodes = materialize(nodes.select("node", "key.k1", "key.k2", "n", "matches", "bitmap"), "nodes")
+    nodes = one.join(few(known, known.count()), "node", "left_semi").select("node", "k1", "k2", "n", "matches", "bitmap")
+    if not once:
+        nodes = nodes.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("key"), *(F.first(c).alias(c) for c in ("n", "matches", "bitmap")))
+        nodes = nodes.select("node", "key.k1", "key.k2", "n", "matches", "bitmap")
+    nodes = materialize(nodes, "nodes")
 
     family = _families(posts, nodes, near)
     edges = _linked_in_families(family, nodes, rows, repeated, k, percent, block)
@@ -313,7 +322,8 @@ def _node(salt: int) -> Column:
 def _among_shared(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     """(node, weight, token) of the prefix tokens that pass the filter of the shared ones: all of these, and a few of the others,
     which no second set holds and which therefore give no pair. On more tokens than the filter can tell apart more of
-    the others pass; the result stays the same."""
+    the others pass; the result stays the same. weight is null where the token takes no part in making families: of a set with
+    many postings every fourth token does, by its hash, which is enough to find a leader."""
     shared = sets.sparkSession.sparkContext.broadcast(token_filter(tokens))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +333,11 @@ def _among_shared(sets: DataFrame, tokens: DataFrame) -> DataFrame:
             n = np.diff(prefix.offsets.to_numpy())
             token = prefix.flatten().to_numpy()
             there = passes(token.view(np.uint64), bits)
-            row = pa.array(np.repeat(np.arange(len(n)), n)[there])
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(2)), pa.array(token[there])], ["node", "weight", "token"])
+            row = np.repeat(np.arange(len(n)), n)[there]
+            token = token[there]
+            many = np.bincount(row, minlength=len(n))[row] >= 16
+            weight = pa.array(b.column(1).to_numpy()[row], pa.float32(), mask=many & (token & 3 != 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), weight, pa.array(token)], ["node", "weight", "token"])
 
     return sets.select("node", "weight", "prefix").mapInArrow(pick, "node long, weight float, token long")
 
@@ -335,6 +348,7 @@ def _families(posts: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
     A token's leader is summed map-side. Leaders rise strictly in (weight, node), so heads of
     heads end; one step up is taken, and who leads others stays with itself.
     """
+    posts = posts.where("weight is not null")
     leads = posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("lead")).select("token", F.col("lead.node").alias("lead"))
     leads = materialize(leads, "leaders")
     met = posts.join(few(leads, leads.count()), "token").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
@@ -419,7 +433,7 @@ def _shared_tokens(posts: DataFrame, family: DataFrame, nodes: DataFrame, percen
     their least and greatest family; those of one family go. Of a token with at most ``crowd`` holders
     the pairs are joined; the holders of others meet in blocks, and only pairs near enough in size and bitmap come out.
     """
-    held = posts.select("token", "node").join(family, "node", "left").select("token", "node", F.xxhash64(F.coalesce("head", "node")).alias("fam"))
+    held = posts.select("token", "node").join(few(family, family.count()), "node", "left").select("token", "node", F.xxhash64(F.coalesce("head", "node")).alias("fam"))
     held = materialize(held, "family-postings")
     mixed = held.groupBy("token").agg(F.count("*").alias("held"), F.min("fam").alias("low"), F.max("fam").alias("high")).where("low != high")
     mixed = materialize(mixed.select("token", "held"), "mixed-tokens")
