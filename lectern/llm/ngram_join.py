@@ -351,8 +351,10 @@ def _families(posts: DataFrame, nodes: DataFrame, near: int) -> DataFrame:
     posts = posts.where("weight is not null")
     leads = posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("lead")).select("token", F.col("lead.node").alias("lead"))
     leads = materialize(leads, "leaders")
-    met = posts.join(few(leads, leads.count()), "token").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
-    best = met.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("x")).select("node", "x.lead", "x.shared")
+    met = posts.join(few(leads, leads.count()), "token").where("node != lead")
+    met = met.groupBy("node", "lead").agg(F.count("*").alias("shared"), F.max(F.col("token").bitwiseAND(3) != 0).alias("all"))
+    # Where only every fourth token could be counted, each stands for four.
+    best = met.groupBy("node").agg(F.max(F.struct("shared", "lead", "all")).alias("x")).select("node", "x.lead", F.when(F.col("x.all"), F.col("x.shared")).otherwise(4 * F.col("x.shared")).alias("shared"))
     x, y = (nodes.select(F.col("node").alias(c), *(F.col(v).alias(f"{v}_{c}") for v in ("n", "matches", "bitmap"))) for c in ("node", "lead"))
     best = materialize(best, "best-leaders").join(x, "node").join(y, "lead").where(F.col("shared") >= F.least("matches_node", "matches_lead"))
     best = best.where(may_reach(F.col("n_node"), F.col("n_lead"), F.col("bitmap_node"), F.col("bitmap_lead"), near))
@@ -443,11 +445,16 @@ def _shared_tokens(posts: DataFrame, family: DataFrame, nodes: DataFrame, percen
     pairs = a.join(b, "token").where("a < b and fam_a != fam_b").select("a", "b")
     many = held.where(F.col("held") > crowd)
     if not many.isEmpty():
-        parts = F.ceil(F.col("held") / block).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        many = many.join(nodes.select("node", "n", "bitmap"), "node").withColumn("parts", parts).withColumn("own", own)
-        # Blocks i <= j meet: a node of block p goes to (p, j) for j >= p and to (i, p) for i < p.
-        meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("own", q).alias("i"), F.greatest("own", q).alias("j")))
+        # A token's largest family doesn't meet itself: its holders are dealt out over blocks that only meet those of the others.
+        each = many.groupBy("token", "held", "fam").agg(F.count("*").alias("of")).groupBy("token", "held").agg(F.max(F.struct("of", "fam")).alias("x"))
+        blocks = lambda n: F.ceil(n / block).cast("int")
+        each = materialize(each.select("token", F.col("x.fam").alias("main"), blocks(F.col("held") - F.col("x.of")).alias("q"), blocks(F.col("x.of")).alias("p")), "crowds")
+        in_main = F.col("fam") == F.col("main")
+        own = F.when(in_main, F.col("q") + F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.pmod(F.xxhash64("node"), F.col("q"))).cast("int")
+        many = many.join(few(each, each.count()), "token").join(nodes.select("node", "n", "bitmap"), "node").withColumn("own", own)
+        # Of the others' q blocks each two, i <= j, meet, and each meets the p blocks behind them.
+        other = F.sequence(F.lit(0), F.col("q") - 1 + F.when(in_main, 0).otherwise(F.col("p")))
+        meet = F.transform(other, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
         many = many.select("token", "node", "fam", "n", "bitmap", "own", F.explode(meet).alias("at")).select("token", "at.i", "at.j", "node", "fam", "n", "bitmap", "own")
 
         def meet_pairs(got):

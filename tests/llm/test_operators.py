@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import gru, pii, quality, secrets
+from lectern.llm import gru, ngram_join, pii, quality, secrets
 from lectern.llm import lm_score as lm
 from lectern.llm import wordvec as wv
 from lectern.llm.common import passes, token_filter
@@ -179,6 +179,21 @@ def test_ngram_classes(spark, crowd, block, near):
     assert all(r.sig == "mine" and r.k1 == 2 for r in stay)
 
 
+def test_crowd_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Each of 300 near copies has so many postings that only some of its tokens count for its family; it still joins it."""
+    made, shared_tokens = [], ngram_join._shared_tokens
+    monkeypatch.setattr(ngram_join, "_shared_tokens", lambda *a: made.append(ngram_join.materialize(shared_tokens(*a), "made")) or made[-1])
+    r = np.random.RandomState(5)
+    texts = []
+    for i in range(300):
+        w = [f"w{j}" for j in range(150)]
+        w[r.randint(150)] = f"own{i}"
+        texts.append(" ".join(w))
+    got = ngram_classes(frame(spark, texts)).collect()
+    assert {x.component_id for x in got} == {0}
+    assert made[0].agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0] <= 10 * len(texts)
+
+
 def test_ngram_classes_repeats_nulls_and_nothing(spark):
     docs = frame(spark, ["a b", "a b", "A  b", "", None, "c"], ids=[4, 4, None, 7, 8, 9])
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_classes(docs, sketch_bits=8).collect())
