@@ -29,47 +29,60 @@ def quote_tokens(quotes: DataFrame, col: str = "quote", tokens: Callable[..., Co
     return q.select(*keys, F.size("q").cast("long").alias("m"), F.posexplode("q").alias("off", "tok"))
 
 
-def phrase_hits(qtokens: DataFrame, ttokens: DataFrame, keys: tuple[str, ...] = ("quote_id",)) -> DataFrame:
+def phrase_hits(qtokens: DataFrame, ttokens: DataFrame, keys: tuple[str, ...] = ("quote_id",), within: str = "talk_id", words: DataFrame | None = None) -> DataFrame:
     """(keys, talk_id, pos): every place where all tokens of a quote stand in order.
 
-    If both sides have talk_id, a quote is looked for in its own talk. First
-    only the quote's rarest token is joined, then the others at the
-    places that it leaves: a stop word never makes candidates.
+    If both sides have the column ``within``, a quote is looked for in its own
+    talk (or deck). First only the quote's rarest token is joined, then the others at the
+    places that it leaves: a stop word never makes candidates. Where ``words`` (talk_id, words) has each talk's
+    tokens in one row, the others are read there.
     """
-    own = ["talk_id"] if "talk_id" in qtokens.columns else []
+    own = [within] if within in qtokens.columns else []
     ids = list(dict.fromkeys([*keys, *own]))
+    out = list(dict.fromkeys([*ids, "talk_id"]))
     counts = ttokens.join(qtokens.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("times"))
     rare = qtokens.join(counts, "tok", "left").groupBy(*ids).agg(F.min_by(F.struct("off", "tok", "m"), F.struct(F.coalesce("times", F.lit(0)), "off")).alias("r"))
     rare = rare.select(*ids, "r.off", "r.tok", "r.m")
-    places = rare.join(ttokens.select("talk_id", "tok", "pos"), [*own, "tok"]).select(*dict.fromkeys([*ids, "talk_id"]), "m", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    places = rare.join(ttokens.select(*dict.fromkeys([*own, "talk_id", "tok", "pos"])), [*own, "tok"]).select(*out, "m", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    if words is not None:
+        wanted = qtokens.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_set(F.struct("off", "tok"))), lambda x: x["tok"]).alias("want"))
+        hits = places.join(wanted, ids).join(words, "talk_id").where(F.slice("words", F.col("start").cast("int") + 1, F.col("m").cast("int")) == F.col("want"))
+        return hits.select(*out, F.col("start").alias("pos"), "m")
     wanted = places.join(qtokens.select(*ids, "off", F.col("tok").alias("want")), ids).withColumn("pos", F.col("start") + F.col("off"))
     hits = wanted.join(ttokens.select("talk_id", "pos", F.col("tok").alias("there")), ["talk_id", "pos"]).where("want = there")
-    return hits.groupBy(*dict.fromkeys([*ids, "talk_id"]), "start", "m").agg(F.count("*").alias("same")).where("same = m").select(*dict.fromkeys([*ids, "talk_id"]), F.col("start").alias("pos"), "m")
+    return hits.groupBy(*out, "start", "m").agg(F.count("*").alias("same")).where("same = m").select(*out, F.col("start").alias("pos"), "m")
 
 
 def fuzzy_candidates(qtokens: DataFrame, ttokens: DataFrame) -> DataFrame:
-    """(quote_id, talk_id, start, m, run): runs of m tokens that hold at least half as many distinct tokens of the quote as it has tokens.
+    """(quote_id, talk_id, m, start, run): runs of m tokens that hold at least half as many distinct tokens of the quote as it has tokens.
 
     Of a quote's d distinct tokens a run must hold c, so it holds one of the d - c + 1
     rarest. Only those are looked up; the runs around them are cut out of the talk's tokens, held in one row for each
     quote and talk that meet.
     """
-    own = ["talk_id"] if "talk_id" in qtokens.columns else []
-    sets = qtokens.groupBy("quote_id", "m").agg(F.collect_set("tok").alias("toks"))
+    return _fuzzy_runs(qtokens, ttokens).drop("q")
+
+
+def _fuzzy_runs(qtokens: DataFrame, ttokens: DataFrame, within: str = "talk_id", words: DataFrame | None = None) -> DataFrame:
+    """``fuzzy_candidates`` with the quote's tokens in one string, q. A talk's tokens meet its quotes last and are never shuffled with them."""
+    own = [within] if within in qtokens.columns else []
+    quoted = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("off", "tok"))), lambda x: x["tok"]), " ")
+    sets = qtokens.groupBy("quote_id", "m").agg(F.collect_set("tok").alias("toks"), quoted.alias("q"))
     each = sets.select("quote_id", "m", F.size("toks").alias("d"), F.explode("toks").alias("tok"))
     counts = ttokens.join(each.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("quote_id").orderBy(F.coalesce("times", F.lit(0)), "tok"))
     rare = each.join(counts, "tok", "left").withColumn("rank", rank).where("rank <= d - ceil(m / 2) + 1").select("quote_id", "m", "tok")
     if own:
-        rare = rare.join(qtokens.select("quote_id", "talk_id").distinct(), "quote_id")
-    met = rare.join(ttokens.select("talk_id", "tok", "pos"), [*own, "tok"]).groupBy("quote_id", "talk_id", "m").agg(F.collect_set("pos").alias("at"))
-    talks = ttokens.groupBy("talk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("words"))
-    met = met.join(talks, "talk_id").join(sets.select("quote_id", "toks"), "quote_id").where(F.size("words") >= F.col("m"))
+        rare = rare.join(qtokens.select("quote_id", *own).distinct(), "quote_id")
+    met = rare.join(ttokens.select(*dict.fromkeys([*own, "talk_id", "tok", "pos"])), [*own, "tok"]).groupBy("quote_id", "talk_id", "m").agg(F.collect_set("pos").alias("at"))
+    if words is None:
+        words = ttokens.groupBy("talk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("words"))
+    met = met.join(sets.select("quote_id", "toks", "q"), "quote_id").join(words, "talk_id").where(F.size("words") >= F.col("m"))
     m = F.col("m").cast("int")
     around = F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p.cast("int") - m + 1), F.least(p.cast("int"), F.size("words") - m)))
     runs = F.transform(F.array_distinct(F.flatten(around)), lambda s: F.struct(s.cast("long").alias("start"), F.slice("words", s + 1, m).alias("w")))
     held = F.filter(runs, lambda r: F.size(F.array_intersect(r["w"], F.col("toks"))) >= F.col("m") * 0.5)
-    return met.select("quote_id", "talk_id", "m", F.explode(held).alias("r")).select("quote_id", "talk_id", "m", "r.start", F.array_join("r.w", " ").alias("run"))
+    return met.select("quote_id", "talk_id", "m", "q", F.explode(held).alias("r")).select("quote_id", "talk_id", "m", "r.start", F.array_join("r.w", " ").alias("run"), "q")
 
 
 def ratio(least: float = 0.0, autojunk: bool = True):
@@ -91,16 +104,11 @@ def ratio(least: float = 0.0, autojunk: bool = True):
     return of
 
 
-def _quote_strings(qtokens: DataFrame) -> DataFrame:
-    once = qtokens.select("quote_id", "off", "tok").distinct()
-    return once.groupBy("quote_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "tok"))), lambda x: x["tok"]), " ").alias("q"))
-
-
-def fuzzy_hits(qtokens: DataFrame, ttokens: DataFrame, least: float = RATIO_SPEECH, autojunk: bool = True) -> DataFrame:
+def fuzzy_hits(qtokens: DataFrame, ttokens: DataFrame, least: float = RATIO_SPEECH, autojunk: bool = True, within: str = "talk_id", words: DataFrame | None = None) -> DataFrame:
     """(quote_id, talk_id, pos, ratio): the best run of each quote of four tokens or more; of equals the last.
     Quotes and runs must hold the same numbers."""
     long = qtokens.where(F.col("m") >= SHORT_WORDS)
-    runs = fuzzy_candidates(long, ttokens).join(_quote_strings(long), "quote_id").where(same_digits(F.col("run"), F.col("q")))
+    runs = _fuzzy_runs(long, ttokens, within, words).where(same_digits(F.col("run"), F.col("q")))
     scored = runs.withColumn("ratio", ratio(least, autojunk)("run", "q")).where(F.col("ratio") >= least)
     return scored.groupBy("quote_id", "talk_id").agg(F.max(F.struct("ratio", "start")).alias("x")).select("quote_id", "talk_id", F.col("x.start").alias("pos"), "x.ratio")
 
@@ -128,15 +136,14 @@ def ellipsis_hits(quotes: DataFrame, ttokens: DataFrame, tokens: Callable[..., C
 
 def slide_hits(qtokens: DataFrame, slides: DataFrame, tokens: Callable[..., Column] = exact_tokens) -> DataFrame:
     """(quote_id, talk_id, t): the first slide with a run that equals the quote, or, of four tokens or more, is near it."""
-    shown = slides.select("talk_id", "idx", F.col("first_seen_ms").alias("t"), F.posexplode(tokens(F.col("ocr_text"))).alias("pos", "tok"))
-    shown = shown.select(F.struct("talk_id", "idx", "t").alias("talk_id"), F.col("pos").cast("long").alias("pos"), "tok")
-    q = qtokens
-    if "talk_id" in q.columns:
-        # A quote is held against each slide of its own talk.
-        deck = slides.select("talk_id", F.struct("talk_id", "idx", F.col("first_seen_ms").alias("t")).alias("slide"))
-        q = q.join(deck, "talk_id").select("quote_id", F.col("slide").alias("talk_id"), "m", "off", "tok")
-    exact = phrase_hits(q, shown).select("quote_id", "talk_id")
-    near = fuzzy_hits(q, shown, RATIO_SLIDE).select("quote_id", "talk_id")
+    key = F.struct("talk_id", "idx", F.col("first_seen_ms").alias("t"))
+    words = slides.select(key.alias("talk_id"), F.col("talk_id").alias("deck"), tokens(F.col("ocr_text")).alias("words"))
+    shown = words.select("talk_id", "deck", F.posexplode("words").alias("pos", "tok")).withColumn("pos", F.col("pos").cast("long"))
+    # A quote that has a talk is held against the slides of its own.
+    q = qtokens.withColumnRenamed("talk_id", "deck")
+    words = words.select("talk_id", "words")
+    exact = phrase_hits(q, shown, within="deck", words=words).select("quote_id", "talk_id")
+    near = fuzzy_hits(q, shown, RATIO_SLIDE, within="deck", words=words).select("quote_id", "talk_id")
     found = exact.unionByName(near)
     return found.groupBy("quote_id", F.col("talk_id.talk_id").alias("talk")).agg(F.min_by(F.col("talk_id.t"), F.col("talk_id.idx")).alias("t")).select("quote_id", F.col("talk").alias("talk_id"), "t")
 

@@ -1,6 +1,7 @@
 """The cases that fix the operators' behaviour, and plain-Python checks of those that SQL can't express."""
 
 import difflib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,21 @@ def test_anchor_cascade(spark):
     assert got["speculative tokens ... We process"] == (None, False, None)
 
 
+def test_a_talks_tokens_are_not_shuffled_with_its_quotes(spark):
+    """Each quote of a talk would carry all of the talk's tokens."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        segs = spark.createDataFrame([(1, 0, 0, "we know that seven great ideas come from the quiet hills")], "talk_id long, seg_idx long, start_ms long, text string")
+        q = spark.createDataFrame([(1, 1, "seven great ideas come out of the hills")], "quote_id long, talk_id long, quote string")
+        hits = anchor.fuzzy_hits(anchor.quote_tokens(q, "quote", fast_tokens, ("quote_id", "talk_id")), anchor.talk_tokens(segs, fast_tokens))
+        plan = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")
+        moved = [x for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", x.strip())]
+        assert moved and not [x for x in moved if re.search(r"\bwords#", x) and re.search(r"\bquote_id#", x)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_fuzzy_hits_against_all_windows(spark):
     r = np.random.RandomState(3)
     vocabulary = ["alpha", "beta", "gamma", "delta", "eps7", "zeta", "40", "eta", "theta"]
