@@ -31,18 +31,38 @@ def start(counts: np.ndarray, hidden: int, classes: int, seed: int = 3) -> Param
     return p
 
 
+#: Predictions that are made at once: few enough that their outputs stay in a core's cache.
+ROWS = 1024
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _gates(a: np.ndarray) -> np.ndarray:
+    """Columns of the three gates apart, so that whatever is done to one gate runs over memory without gaps."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, -1).swapaxes(0, 1))
+
+
+def _step(x: np.ndarray, u: np.ndarray, word: np.ndarray, h: np.ndarray):
+    """The next state, gates z and r, candidate c and its part g of the state; x and u by gate."""
+    g, x = np.matmul(h, u), x.take(word, axis=1)
+    zr = _sigmoid(np.add(g[:2], x[:2], out=x[:2]))
+    c = np.multiply(zr[1], g[2])
+    c += x[2]
+    np.tanh(c, out=c)
+    new = np.subtract(h, c)
+    new *= zr[0]
+    new += c
+    return new, zr[0], zr[1], c, g[2]
 
 
-def _step(p: Params, word: np.ndarray, h: np.ndarray):
-    n = h.shape[1]
-    x = p["x"][word]
-    g = h @ p["u"]
-    zr = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-    return c + z * (h - c), z, r, c, g[:, 2 * n :]
+def _with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with their bias as one more row, for states with a 1 at the end."""
+    return np.concatenate([w, b[..., None, :]], axis=-2)
 
 
 def _moderate(p: Params) -> bool:
@@ -55,30 +75,40 @@ def _by(values: np.ndarray) -> np.ndarray:
     return np.argsort(values.astype(np.uint16) if len(values) and values.max() < 1 << 16 else values, kind="stable")
 
 
-def _log_p(p: Params, h: np.ndarray, word: np.ndarray, moderate: bool) -> np.ndarray:
-    """log p(word) after states h: of its class, times of the word in its class."""
-    classes, per = p["bo"].shape
-    k = word // per
-    rows, ones = np.arange(len(word)), np.ones(max(classes, per), h.dtype)
+def _softmax(a: np.ndarray, at: np.ndarray, moderate: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turns outputs into exponentials, in their place; their sums, where the picked ones are in a, and their log probabilities."""
+    if not moderate:
+        a -= a.max(1, keepdims=True)
+    flat = np.arange(0, a.size, a.shape[1])
+    flat += at
+    own = a.reshape(-1).take(flat)
+    total = np.exp(a, out=a) @ np.ones(a.shape[1], a.dtype)
+    own -= np.log(total)
+    return total, flat, own
+
+
+def _pieces(by: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, its first place, the place after its last) in ordered values."""
+    cut = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    return list(zip(by[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(by)]))
 
-    def picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not moderate:
-            a -= a.max(1, keepdims=True)
-        own = a[rows[: len(a)], at]
-        return own - np.log(np.exp(a, out=a) @ ones[: a.shape[1]])
 
-    a = h @ p["wc"]
-    a += p["bc"]
-    out = picked(a, k)
+def _log_p(p: Params, h: np.ndarray, word: np.ndarray, moderate: bool) -> np.ndarray:
+    """log p(word) after states h: of its class, times of the word in its class. Tokens go by class, ROWS at a time."""
+    per, n = p["bo"].shape[1], h.shape[1]
+    wc, wo = _with_bias(p["wc"], p["bc"]), _with_bias(p["wo"], p["bo"])
+    k = word // per
     order = _by(k)
-    cut = np.searchsorted(k[order], np.arange(classes + 1)).tolist()
-    h, place, lp = h[order], (word - k * per)[order], np.empty(len(word), h.dtype)
-    for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
-        if hi > lo:
-            a = h[lo:hi] @ p["wo"][c]
-            a += p["bo"][c]
-            lp[lo:hi] = picked(a, place[lo:hi])
-    out[order] += lp
+    out, states, words = np.empty(len(word), h.dtype), np.ones((ROWS, n + 1), h.dtype), np.empty((ROWS, per), h.dtype)
+    for lo in range(0, len(word), ROWS):
+        who = order[lo : lo + ROWS]
+        by, s, e = k[who], states[: len(who)], words[: len(who)]
+        s[:, :n] = h.take(who, axis=0)
+        lp = _softmax(s @ wc, by, moderate)[2]
+        for j, a, b in _pieces(by):
+            np.matmul(s[a:b], wo[j], out=e[a:b])
+        lp += _softmax(e, word[who] - by * per, moderate)[2]
+        out[who] = lp
     return out
 
 
@@ -102,6 +132,7 @@ def _score_side_by_side(p: Params, texts: list[np.ndarray], block: int, moderate
     lengths = np.asarray([len(t) for t in texts])
     vocabulary, n = p["x"].shape[0] - 1, p["u"].shape[0]
     left = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right").tolist()  # texts that have a token at each step
+    x, u = _gates(p["x"]), _gates(p["u"])
     h, word, total = np.zeros((len(texts), n), np.float32), np.full(len(texts), vocabulary), np.zeros(len(texts))
     for at in range(0, lengths[0], block):
         lanes = left[at : at + block]
@@ -111,7 +142,7 @@ def _score_side_by_side(p: Params, texts: list[np.ndarray], block: int, moderate
             y[: len(part), i] = part
         states = np.empty((len(lanes), lanes[0], n), np.float32)
         for t, active in enumerate(lanes):
-            h = _step(p, word[:active], h[:active])[0]
+            h = _step(x, u, word[:active], h[:active])[0]
             states[t, :active] = h
             word = y[t]
         there = y >= 0
@@ -145,71 +176,92 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndar
     inputs, targets and fresh (a text begins here) are steps x lanes.
     """
     steps, lanes = inputs.shape
-    n, per = p["u"].shape[0], p["bo"].shape[1]
-    x, keep = p["x"][inputs], 1 - fresh[:, :, None].astype(np.float32)
-    h_in, z, r, c, gn, hs = (np.empty((steps, lanes, n), p["u"].dtype) for _ in range(6))
+    n, kind = p["u"].shape[0], p["u"].dtype
+    x, u = _gates(p["x"]), _gates(p["u"])
+    new = [np.flatnonzero(f) for f in fresh]
+    h_in, kept = np.empty((steps, lanes, n), kind), []
+    hs = np.empty_like(h_in)
     for t in range(steps):
-        np.multiply(h, keep[t], out=h_in[t])
-        g = h_in[t] @ p["u"]
-        zr = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
-        z[t], r[t], gn[t] = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-        np.tanh(x[t, :, 2 * n :] + r[t] * gn[t], out=c[t])
-        h = np.add(c[t], z[t] * (h_in[t] - c[t]), out=hs[t])
-    H, y = hs.reshape(-1, n), targets.reshape(-1)
-    rows, k = np.arange(len(y)), y // per
-    scale = np.float32(1 / len(y))
-    g = {key: np.zeros_like(v) for key, v in p.items()}
-
-    moderate, ones = _moderate(p), np.ones(max(p["bo"].shape), p["u"].dtype)
-
-    def softmax(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-        """The scaled gradient with respect to a, in its place, and the loss."""
-        if not moderate:
-            a -= a.max(1, keepdims=True)
-        own = a[rows, at].sum()
-        total = np.exp(a, out=a) @ ones[: a.shape[1]]
-        a *= (scale / total)[:, None]
-        a[rows, at] -= scale
-        return a, np.log(total).sum() - own
-
-    d, loss = softmax(H @ p["wc"] + p["bc"], k)
-    g["wc"], g["bc"] = H.T @ d, d.sum(0)
-    dH = d @ p["wc"].T
-    # The words in their classes: tokens lie by class, one product a class, all else over all of them.
-    order = _by(k)
-    by, Hs = k[order], H[order]
-    cut = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-    parts = list(zip(by[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(by)]))
-    e = p["bo"][by]
-    for j, lo, hi in parts:
-        e[lo:hi] += Hs[lo:hi] @ p["wo"][j]
-    e, more = softmax(e, y[order] - by * per)
-    loss += more
-    g["bo"][by[cut]] = np.add.reduceat(e, cut, axis=0)
-    back = np.empty_like(Hs)
-    for j, lo, hi in parts:
-        g["wo"][j] = Hs[lo:hi].T @ e[lo:hi]
-        back[lo:hi] = e[lo:hi] @ p["wo"][j].T
-    dH[order] += back
-    # Every gate's gradient is that of the state times a factor known beforehand.
-    dc = (1 - z) * (1 - c * c)
-    dz, dr = (h_in - c) * z * (1 - z), dc * gn * r * (1 - r)
-    factor = np.stack([dz, dr, dc * r], axis=2)
-    dH, dh, du = dH.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32), np.empty((steps, lanes, 3 * n), p["u"].dtype)
-    ut = np.ascontiguousarray(p["u"].T)
+        h_in[t] = h
+        h_in[t, new[t]] = 0
+        h, *gates = _step(x, u, inputs[t], h_in[t])
+        hs[t] = h
+        kept.append(gates)
+    dH, g, loss = _predict(p, hs.reshape(-1, n), targets.reshape(-1))
+    dH, dh, du, gu = dH.reshape(steps, lanes, n), np.zeros((lanes, n), kind), np.empty((3, steps, lanes, n), kind), np.zeros_like(u)
+    ut = np.ascontiguousarray(u.swapaxes(1, 2))
     for t in range(steps - 1, -1, -1):
-        dH[t] += dh
-        dh = dH[t]
-        np.multiply(dh[:, None, :], factor[t], out=du[t].reshape(lanes, 3, n))
-        dh = (dh * z[t] + du[t] @ ut) * keep[t]
-    g["u"] = h_in.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-    du[:, :, 2 * n :] = dH * dc
+        z, r, c, gn = kept.pop()
+        dh += dH[t]
+        d = du[:, t]
+        # d of the candidate, then of z, of the state's part of the candidate, and of r; all before their functions
+        rest = 1 - z
+        dc = np.multiply(c, c)
+        np.subtract(1, dc, out=dc)
+        dc *= rest
+        dc *= dh
+        dh *= z
+        np.subtract(h_in[t], c, out=d[0])
+        d[0] *= rest
+        d[0] *= dh
+        np.multiply(dc, r, out=d[2])
+        np.subtract(1, r, out=d[1])
+        d[1] *= gn
+        d[1] *= d[2]
+        gu += np.matmul(h_in[t].T, d)
+        for part in np.matmul(d, ut):
+            dh += part
+        dh[new[t]] = 0
+        d[2] = dc
+    g["u"] = np.ascontiguousarray(gu.swapaxes(0, 1)).reshape(p["u"].shape)
     word = inputs.reshape(-1)
     order = _by(word)
     word = word[order]
     cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    g["x"][word[cut]] = np.add.reduceat(du.reshape(-1, 3 * n)[order], cut, axis=0)
-    return g, h, float(loss / len(y))
+    g["x"] = np.zeros_like(p["x"])
+    for i, d in enumerate(du.reshape(3, -1, n)):
+        g["x"][word[cut], i * n : (i + 1) * n] = np.add.reduceat(d.take(order, axis=0), cut, axis=0)
+    return g, h, loss
+
+
+def _predict(p: Params, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, Params, float]:
+    """The mean loss of predicting y after states h, and its gradients: of the states, and of the outputs' weights.
+
+    Tokens go by class, ROWS at a time: one product a class, all else over all of them.
+    """
+    n, per = h.shape[1], p["bo"].shape[1]
+    wc, wo = _with_bias(p["wc"], p["bc"]), _with_bias(p["wo"], p["bo"])
+    gc, go, back = np.zeros_like(wc), np.zeros_like(wo), np.empty_like(h)
+    wct, wot = np.ascontiguousarray(p["wc"].T), np.ascontiguousarray(p["wo"].swapaxes(1, 2))
+    moderate, scale, loss = _moderate(p), np.float32(1 / len(y)), 0.0
+
+    def gradient(a: np.ndarray, at: np.ndarray) -> float:
+        """The scaled gradient with respect to a, in its place; the loss."""
+        total, flat, own = _softmax(a, at, moderate)
+        a *= (scale / total)[:, None]
+        a.reshape(-1)[flat] -= scale
+        return -float(own.sum())
+
+    k = y // per
+    order = _by(k)
+    states, words = np.ones((ROWS, n + 1), h.dtype), np.empty((ROWS, per), h.dtype)
+    for lo in range(0, len(y), ROWS):
+        who = order[lo : lo + ROWS]
+        by, s, e = k[who], states[: len(who)], words[: len(who)]
+        s[:, :n] = h.take(who, axis=0)
+        d = s @ wc
+        loss += gradient(d, by)
+        gc += s.T @ d
+        d = d @ wct
+        parts = _pieces(by)
+        for j, a, b in parts:
+            np.matmul(s[a:b], wo[j], out=e[a:b])
+        loss += gradient(e, y[who] - by * per)
+        for j, a, b in parts:
+            go[j] += s[a:b].T @ e[a:b]
+            d[a:b] += e[a:b] @ wot[j]
+        back[who] = d
+    return back, {"wc": gc[:n].copy(), "bc": gc[n].copy(), "wo": go[:, :n].copy(), "bo": go[:, n].copy()}, loss / len(y)
 
 
 def train(p: Params, texts: list[np.ndarray], updates: int, rate: float, seed: int = 0, lanes: int = LANES) -> Params:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,24 @@ from lectern.sources.tables import materialize
 END = np.uint64(0x0E0D)
 #: Texts that one scoring batch holds together: about so many tokens, or one text.
 BATCH_TOKENS = 1 << 20
+#: Bytes, or one text, whose tokens are found at once: few enough that what is made of them stays in a core's cache.
+NEAR_BYTES = 1 << 18
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, the end tokens included; where each text's tokens begin)."""
+    parts, firsts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    lo, rows = 0, len(off) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + NEAR_BYTES, "right")) - 1)
+        h, first = _tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        parts.append(h)
+        firsts.append(first[1:] + firsts[-1][-1])
+        lo = hi
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = wv.words(data, off, wv.SPACED)
     first = w.first + np.arange(len(w.first))
     h = np.full(len(w.hash) + len(off) - 1, END)
@@ -36,12 +51,34 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _find(h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Table(NamedTuple):
+    """Hashes in order, and where those begin that share their leading bits."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+
+
+def table_of(hashes: np.ndarray) -> Table:
+    hashes = np.sort(hashes)
+    bits = len(hashes).bit_length() + 1
+    shift = np.uint64(64 - bits)
+    lead = np.arange(1 << bits, dtype=np.uint64) << shift
+    return Table(hashes, np.searchsorted(hashes, lead).astype(np.int32), shift)
+
+
+def _find(h: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """Index in the ordered table, and whether it is there."""
-    if not len(table):
+    last = len(table.hashes) - 1
+    if last < 0:
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return at, table[at] == h
+    at = np.minimum(table.first.take((h >> table.shift).view(np.int64)), last)
+    left = np.flatnonzero(table.hashes.take(at) < h)
+    while len(left):
+        left = left[at[left] < last]
+        at[left] += 1
+        left = left[table.hashes.take(at[left]) < h[left]]
+    return at, table.hashes.take(at) == h
 
 
 def common_words(train: DataFrame, most: int) -> np.ndarray:
@@ -69,11 +106,12 @@ def token_counts(rows: DataFrame, common: np.ndarray) -> DataFrame:
     known, how many have c > 0; trained, how many are in training texts; new, of how many
     counted tokens it is the first holder.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(common))
+    shared = rows.sparkSession.sparkContext.broadcast(table_of(common))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        total = np.zeros(len(table), np.int64)
+        size = len(table.hashes)
+        total = np.zeros(size, np.int64)
 
         def out(h, k1, k2, n, train):
             return pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(k1), pa.array(k2), pa.array(n), pa.array(train)], ["h", "k1", "k2", "n", "train"])
@@ -84,7 +122,7 @@ def token_counts(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 h, first = tokens(data, off)
                 row = np.repeat(np.arange(lo, hi), np.diff(first))
                 at, hot = _find(h, table)
-                total += np.bincount(at[hot & is_train[row]], minlength=len(table)) if len(table) else 0
+                total += np.bincount(at[hot & is_train[row]], minlength=size) if size else 0
                 h, row = h[~hot], row[~hot]
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
@@ -92,9 +130,8 @@ def token_counts(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 n = np.diff(np.append(new, len(h)))
                 r = row[new]
                 yield out(h[new], k1[r], k2[r], n.astype(np.int32), is_train[r])
-        n = len(table)
-        counts = pa.array(total)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(table)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), counts.cast(pa.int32()), pa.array(np.ones(n, bool))], ["h", "k1", "k2", "n", "train"])
+        none, counts = pa.nulls(size, pa.int64()), pa.array(total)
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(table.hashes)), none, none, counts.cast(pa.int32()), pa.array(np.ones(size, bool))], ["h", "k1", "k2", "n", "train"])
 
     each = rows.select("t", "k1", "k2", "train").mapInArrow(spread, "h long, k1 long, k2 long, n int, train boolean")
     by_token = Window.partitionBy("h").orderBy("k1", "k2")
@@ -121,8 +158,7 @@ def fit(train: DataFrame, words: np.ndarray, counts: np.ndarray, hidden: int, cl
     """
     spark = train.sparkSession
     groups = max(1, round(train.count() / group_docs))
-    table = np.sort(words)
-    rank = np.argsort(words)
+    table, rank = table_of(words), np.argsort(words)
     vocabulary = len(words) + 1
     shared = spark.sparkContext.broadcast((table, rank))
 
@@ -183,11 +219,11 @@ def _mean(models: DataFrame) -> bytes:
     return b"".join(bytes(r.v) for r in sorted(got, key=lambda r: r.piece))
 
 
-def word_ids(data: np.ndarray, off: np.ndarray, table: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Model words of all tokens (len(table) for any that is not in the vocabulary), and where texts begin."""
+def word_ids(data: np.ndarray, off: np.ndarray, table: Table, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Model words of all tokens (len(rank) for any that is not in the vocabulary), and where texts begin."""
     h, first = tokens(data, off)
     at, there = _find(h, table)
-    return np.where(there, rank[at] if len(rank) else 0, len(table)), first
+    return np.where(there, rank[at] if len(rank) else 0, len(rank)), first
 
 
 def lm_score(
@@ -225,7 +261,8 @@ def lm_score(
     sums = materialize(token_counts(rows, frequent), "token-sums")
     hot = sums.where("h is not null").select("h", "c").toPandas()
     rare = sums.where("h is null").agg(F.sum("trained").alias("n"), F.sum("new").alias("v")).first()
-    table = np.sort(frequent)
+    find = table_of(frequent)
+    table = find.hashes
     c = np.zeros(len(table), np.int64)
     c[np.searchsorted(table, hot.h.to_numpy(np.int64).view(np.uint64))] = hot.c.to_numpy(np.int64)
     n_train, distinct = int(c.sum()) + int(rare.n or 0), int((c > 0).sum()) + int(rare.v or 0)
@@ -237,7 +274,7 @@ def lm_score(
     rank = np.full(len(table), len(words))
     rank[order] = np.arange(len(words))
     logs = np.log10(c + 0.1)
-    shared = spark.sparkContext.broadcast((table, logs, c > 0, rank, len(words), params))
+    shared = spark.sparkContext.broadcast((find, logs, c > 0, rank, len(words), params))
 
     scored_type = "n_tokens long, n_other long, hot_known long, hot_logs double, hot_other_logs double, net double"
 
@@ -258,7 +295,7 @@ def lm_score(
             at, hot = _find(h, table)
             known = at[hot], row[hot]
             count = lambda r, w=None: np.bincount(r, w, hi - lo)  # noqa: E731, B023
-            other = rank[known[0]] == n_words if len(table) else np.zeros(0, bool)
+            other = rank[known[0]] == n_words if len(rank) else np.zeros(0, bool)
             parts[0].append(np.diff(first))
             parts[2].append(count(known[1], seen[known[0]]) if len(known[0]) else np.zeros(hi - lo))
             parts[3].append(count(known[1], logs[known[0]]) if len(known[0]) else np.zeros(hi - lo))

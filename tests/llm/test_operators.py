@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -560,6 +561,41 @@ def test_gru_trains_on_every_token(monkeypatch):
     assert all(seen[k] >= n for k, n in want.items())
 
 
+def test_gru_works_in_a_small_space():
+    """Predictions of many tokens and the gradients of a wide window never lie in memory as a whole; they are the same as token by token."""
+    r = np.random.RandomState(6)
+    p = gru.start(np.arange(4096, 0, -1.0), 20, 64)
+    h, y = np.tanh(r.standard_normal((1 << 15, 20))).astype(np.float32), r.randint(0, 4096, 1 << 15)
+    inputs, fresh = r.randint(0, 4097, (16, 1024)), r.rand(16, 1024) < 0.01
+    peaks = []
+    for run in (lambda: gru._log_p(p, h, y, True), lambda: gru.gradients(p, inputs, y[: 1 << 14].reshape(16, 1024), fresh, h[:1024])):
+        tracemalloc.start()
+        got = run()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if len(peaks) == 1:
+            one = np.concatenate([gru._log_p(p, h[i : i + 1], y[i : i + 1], True) for i in range(0, 1 << 15, 97)])
+            assert got[::97] == pytest.approx(one, rel=1e-4)
+    # All outputs at once would be 8 MB for the predictions, 4 MB each for class and word in the window.
+    assert peaks[0] < 4 << 20 and peaks[1] < 24 << 20, peaks
+
+
+def test_token_lookup(monkeypatch):
+    """Lookup by leading bits finds what a plain search finds; cutting texts for it changes no token."""
+    r = np.random.RandomState(7)
+    near = (np.uint64(5) << np.uint64(60)) + np.arange(0, 40, 2, dtype=np.uint64)
+    for some in (r.randint(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), near, near[:1], near[:0]):
+        table = lm.table_of(np.unique(some))
+        h = np.concatenate([some, some + np.uint64(1), r.randint(0, 1 << 63, 500).astype(np.uint64), np.asarray([0, 0x0E0D, 2**64 - 1], np.uint64)])
+        at, there = lm._find(h, table)
+        assert (there == np.isin(h, some)).all() and (table.hashes[at[there]] == h[there]).all()
+    texts = pa.array(prose(30, 56) + ODD + ["", "last"])
+    whole = lm.tokens(*wv.buffers(texts))
+    monkeypatch.setattr(lm, "NEAR_BYTES", 50)
+    cut = lm.tokens(*wv.buffers(texts))
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
 def _net_log10(p, ids):
     """log10 of a text's probability, one token after another in plain numpy."""
     n, per = p["u"].shape[0], p["bo"].shape[1]
