@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.functions.text import exact_tokens, same_digits
+from lectern.functions.text import exact_tokens, same_digits, token_line
+from lectern.operators.runs import Runs, numbers, segment_of
 from lectern.sources.tables import materialize
 
 SHORT_WORDS, SHORT_PLACES = 4, 3
 RATIO_SPEECH, RATIO_SLIDE = 0.90, 0.85
+#: Quotes of a talk that are looked up together, and rows of an Arrow batch of answers.
+BLOCK, ROWS = 256, 10_000
 
 
 def talk_tokens(segments: DataFrame, tokens: Callable[..., Column] = exact_tokens) -> DataFrame:
@@ -148,25 +154,129 @@ def slide_hits(qtokens: DataFrame, slides: DataFrame, tokens: Callable[..., Colu
     return found.groupBy("quote_id", F.col("talk_id.talk_id").alias("talk")).agg(F.min_by(F.col("talk_id.t"), F.col("talk_id.idx")).alias("t")).select("quote_id", F.col("talk").alias("talk_id"), "t")
 
 
+def _asked(quotes: DataFrame, *what: str) -> DataFrame:
+    """(talk_id, block, x): a talk's quotes numbered by n, BLOCK of them in a block; x holds n and ``what``."""
+    n = F.row_number().over(Window.partitionBy("talk_id").orderBy("quote_id")) - 1
+    return quotes.withColumn("n", n).select("talk_id", F.floor(F.col("n") / BLOCK).alias("block"), F.struct("n", *what).alias("x"))
+
+
+def _blocks(asked: DataFrame) -> DataFrame:
+    """(talk_id, asked): a row for each block."""
+    return asked.groupBy("talk_id", "block").agg(F.collect_list("x").alias("asked")).drop("block")
+
+
+def _in_talk():
+    """Of a block (talk_id, asked, segs), for each quote: (quote_id, talk_id, t, spoken, rest): its time, or else its tokens."""
+
+    def of(row: Callable[[str], pa.Scalar]) -> Iterator[tuple]:
+        quotes: dict[int, tuple] = {}
+        x, said, talk = row("asked").values, row("segs").values, row("talk_id").as_py()
+        for n, k, quote_id, toks in sorted(zip(*(x.field(f).to_pylist() for f in ("n", "k", "quote_id", "toks"))), key=lambda r: r[:2]):
+            if k == 0:
+                quotes[n] = (quote_id, tuple(toks.split()), [], numbers(toks))
+            elif toks:
+                quotes[n][2].append(tuple(toks.split()))
+        times, segs = ([], []) if said is None else (said.field("t").to_pylist(), [s.split() for s in said.field("toks").to_pylist()])
+        here = set(numbers(" ".join(w for s in segs for w in s)))
+        able = {n: q for n, q in quotes.items() if q[1] and here.issuperset(q[3])}
+        text = Runs([w for s in segs for w in s], [w for q in able.values() for w in (q[1], *q[2])])
+        at, seg, near = {}, segment_of([len(s) for s in segs]), []
+        for n, (_, q, parts, _) in able.items():
+            place = text.in_order(parts) if len(parts) > 1 else None
+            if place is None:
+                places = list(islice(text.places(q), 1 if len(q) >= SHORT_WORDS else SHORT_PLACES + 1))
+                place = places[0] if 0 < len(places) <= SHORT_PLACES else None
+            if place is not None:
+                at[n] = place
+            elif len(q) >= SHORT_WORDS:
+                near.append(n)
+        for i, (_, place) in text.nearest([able[n][1] for n in near], [able[n][3] for n in near], RATIO_SPEECH).items():
+            at[near[i]] = place
+        for n, (quote_id, q, _, _) in quotes.items():
+            if n in at:
+                yield quote_id, talk, times[seg(at[n])], True, None
+            else:
+                yield quote_id, talk, None, False, " ".join(q) or None
+
+    return of
+
+
+def _on_slide():
+    """Of a block and a slide (talk_id, idx, t, ids, rests, toks), for each quote that the slide shows: (quote_id, talk_id, idx, t)."""
+    last, quotes, own = None, [], []
+
+    def of(row: Callable[[str], pa.Scalar]) -> Iterator[tuple]:
+        nonlocal last, quotes, own
+        rests, toks = row("rests").as_py(), row("toks").as_py()
+        if rests != last:
+            last, quotes, own = rests, [tuple(q.split()) for q in rests.split("\n")], [numbers(q) for q in rests.split("\n")]
+        here = set(numbers(toks))
+        able = [i for i in range(len(quotes)) if here.issuperset(own[i])]
+        if not able or not toks:
+            return
+        text = Runs(toks.split(), [quotes[i] for i in able])
+        found = {i for i in able if next(text.places(quotes[i]), None) is not None}
+        near = [i for i in able if i not in found and len(quotes[i]) >= SHORT_WORDS]
+        found |= {near[k] for k in text.nearest([quotes[i] for i in near], [own[i] for i in near], RATIO_SLIDE, first=True)}
+        if found:
+            ids, talk, idx, t = (row(k).as_py() for k in ("ids", "talk_id", "idx", "t"))
+            for i in sorted(found):
+                yield ids[i], talk, idx, t
+
+    return of
+
+
+def _each(rows: DataFrame, make: Callable[[], Callable], schema: T.StructType) -> DataFrame:
+    """What the function that ``make`` makes yields for each row, in Arrow batches."""
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(arrow), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                out.extend(of(lambda k: batch.column(k)[i]))  # noqa: B023
+                if len(out) >= ROWS:
+                    yield batch_of(out)
+                    out = []
+            yield batch_of(out)
+
+    return rows.mapInArrow(run, schema)
+
+
 def anchor(quotes: DataFrame, segments: DataFrame, slides: DataFrame, tokens: Callable[..., Column] = exact_tokens) -> DataFrame:
     """(quote_id, talk_id, t, grounded, source) for each quote (quote_id, talk_id, quote).
 
     In this order: fragments around an ellipsis, one after another; the exact
     words, unless fewer than four that stand in more than three places; a near
-    run; a slide's text. Each step gets only the quotes that the steps before have
-    left; what a step has found is written, so that later steps don't find it again.
+    run; a slide's text. A talk's tokens, in one row, meet its quotes in blocks of BLOCK; what a talk leaves is written and
+    meets each slide of its deck, in blocks again. No token is shuffled by itself.
     """
-    quotes = materialize(quotes.select("quote_id", "talk_id", "quote"), "quotes")
-    tt = materialize(talk_tokens(segments, tokens), "talk-tokens")
-    qt = materialize(quote_tokens(quotes, "quote", tokens, ("quote_id", "talk_id")), "quote-tokens")
-    times = tt.select("talk_id", "pos", "t")
-    left = lambda df, done: df.join(done.select("quote_id"), "quote_id", "left_anti")
-    ellipsis = materialize(ellipsis_hits(quotes, tt, tokens).join(times, ["talk_id", "pos"]).select("quote_id", "t", F.lit("speech").alias("source")), "by-ellipsis")
-    exact = phrase_hits(left(qt, ellipsis), tt).groupBy("quote_id", "talk_id", "m").agg(F.min("pos").alias("pos"), F.count("*").alias("places"))
-    exact = exact.where((F.col("m") >= SHORT_WORDS) | (F.col("places") <= SHORT_PLACES)).join(times, ["talk_id", "pos"]).select("quote_id", "t", F.lit("speech").alias("source"))
-    done = materialize(ellipsis.unionByName(exact), "exact")
-    near = fuzzy_hits(left(qt, done), tt).join(times, ["talk_id", "pos"]).select("quote_id", "t", F.lit("speech").alias("source"))
-    done = materialize(done.unionByName(near), "spoken")
-    seen = slide_hits(left(qt, done), slides, tokens).select("quote_id", "t", F.lit("slide").alias("source"))
-    found = done.unionByName(seen)
-    return quotes.join(found, "quote_id", "left").select("quote_id", "talk_id", "t", F.col("source").isNotNull().alias("grounded"), "source")
+    conf = quotes.sparkSession.conf
+    kinds = {f.name: f.dataType for f in quotes.select("quote_id", "talk_id").schema}
+    fields = lambda **more: T.StructType([T.StructField(k, v) for k, v in {**kinds, **more}.items()])
+    # So many partitions as the session names, since the work isn't in the bytes that Spark would put together by.
+    dealt = quotes.select("quote_id", "talk_id", "quote").repartition(int(conf.get("spark.sql.shuffle.partitions")), "talk_id")
+    parts = F.split("quote", r"\s*(?:\.\.\.|…)\s*")
+    each = _asked(dealt, "quote_id", F.when(F.size(parts) > 1, F.concat(F.array("quote"), parts)).otherwise(F.array("quote")).alias("parts"))
+    each = each.select("talk_id", "block", "x.n", "x.quote_id", F.posexplode("x.parts").alias("k", "part"))
+    asked = _blocks(each.select("talk_id", "block", F.struct("n", "k", "quote_id", token_line(F.col("part"), tokens).alias("toks")).alias("x")))
+    said = segments.select("talk_id", F.struct("seg_idx", F.col("start_ms").cast("long").alias("t"), token_line(F.col("text"), tokens).alias("toks")).alias("s"))
+    said = said.groupBy("talk_id").agg(F.array_sort(F.collect_list("s")).alias("segs"))
+    spoken = _each(asked.join(said, "talk_id", "left"), _in_talk, fields(t=T.LongType(), spoken=T.BooleanType(), rest=T.StringType()))
+    spoken = materialize(spoken, "spoken")
+
+    left = _blocks(_asked(spoken.where("rest IS NOT NULL"), "quote_id", "rest"))
+    left = left.select("talk_id", F.col("asked.quote_id").alias("ids"), F.array_join("asked.rest", "\n").alias("rests"))
+    met = slides.select("talk_id", "idx", F.col("first_seen_ms").cast("long").alias("t"), "ocr_text").join(left, "talk_id")
+    # Nothing is filtered by what a Python function has made: Spark would call it twice.
+    met = met.select("talk_id", "idx", "t", "ids", "rests", token_line(F.col("ocr_text"), tokens).alias("toks"))
+    shown = _each(met, _on_slide, fields(idx=T.LongType(), at=T.LongType()))
+    shown = shown.groupBy("quote_id", "talk_id").agg(F.min_by("at", "idx").alias("at"), F.lit(True).alias("shown"))
+    grounded = lambda t, source: (F.col("quote_id"), F.col("talk_id"), t, source.isNotNull().alias("grounded"), source.alias("source"))
+    heard = spoken.where("rest IS NULL").select(*grounded(F.col("t"), F.when(F.col("spoken"), "speech")))
+    seen = spoken.where("rest IS NOT NULL").select("quote_id", "talk_id").join(shown, ["quote_id", "talk_id"], "left")
+    return heard.unionByName(seen.select(*grounded(F.col("at").alias("t"), F.when(F.col("shown"), "slide"))))
